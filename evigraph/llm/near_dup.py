@@ -4,13 +4,14 @@ Sketch: in round i every shingle is hashed to a bin and a value i + v; a bin kee
 reach bins that are still empty. Rounds from `size` on hash to one fixed bin each, so that after 2 * size rounds every
 coordinate is filled. Two sets agree in a coordinate with a probability equal to their Jaccard similarity.
 
-Steps: documents with equal shingle sets collapse to a class; each band of a class's sketch names a bucket. First every
-class of a bucket is compared with the bucket's smallest one (linear in the bucket). Buckets whose classes are then still
-in more than one component are compared across components, sketch with sketch in blocks, so that no link is lost to the
-first step. Pairs whose sketches could belong to similar sets are confirmed on the full sets; only these are links.
+Steps: documents with equal shingle sets collapse to a class; each band of a class's sketch names a bucket. Within a bucket
+all sketches that may belong to similar sets are found in memory, but only links that span them leave the task, at most one
+per class. The components of these links are clusters. Within a cluster the full sets are compared, exactly and again in
+memory, and spanning links of what is similar leave the task; their components are the result. Neither buckets nor
+clusters emit pairs, and large ones are dealt to pairs of blocks.
 
-A pair at the threshold escapes all bands with a probability of (1 - similarity**rows)**bands, 1.2e-7 by default; one
-whose sketches agree in so few coordinates that it is not confirmed, below 1e-14. Shingles are 64-bit hashes.
+A pair at the threshold escapes all bands with a probability of (1 - similarity**rows)**bands, 1.2e-7 by default; its
+sketches agree in too few coordinates with one below 3e-7. Shingles are 64-bit hashes.
 
 Rows: a null text, or one without words, is linked with nothing; a text of fewer words than a shingle counts as one
 shingle; repeated rows fall into one class; rows with one doc_id are taken as one document; other columns are ignored. A
@@ -31,8 +32,8 @@ from evigraph.llm.common import arrow_stage, written
 from evigraph.llm.components import components
 
 KEPT_WORDS = 400_000
-#: Classes of a bucket that are compared in one block, and members that share one task's copy of a leader.
-BLOCK = 2000
+#: Classes, and their shingles, that are compared in one block; larger buckets and clusters are dealt to pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 4000, 1_500_000
 
 
 class _Words(dict):
@@ -98,8 +99,8 @@ def buckets(coords: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def least_agreement(size: int, similarity: float) -> int:
-    """Coordinates that sketches of similar sets agree in but for a chance below 1e-14 (8 standard deviations)."""
-    return max(1, math.floor(size * similarity - 8 * math.sqrt(size * similarity * (1 - similarity))))
+    """Coordinates that sketches of similar sets agree in but for a chance below 3e-7 (5 standard deviations)."""
+    return max(1, math.floor(size * similarity - 5 * math.sqrt(size * similarity * (1 - similarity))))
 
 
 def _profiles(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -116,79 +117,100 @@ def _profiles(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return arrow_stage(df, "id long, n long, digest binary, bands array<long>, coords binary", run)
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches may belong to similar sets."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("coords").alias(f"c{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ca", "cb")
+class _Forest:
+    """Union-find over 0..n-1 that remembers the links which joined two trees."""
 
-    def run(batches):
-        for x in batches:
-            for a, b, p, q in zip(x["a"], x["b"], x["ca"], x["cb"], strict=True):
-                if int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= least:
-                    yield a, b
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
-    return arrow_stage(both, "a long, b long", run)
+    def join(self, k: int, others: np.ndarray) -> None:
+        """Joins k with the others, one link for each tree that is new to it."""
+        roots, first = np.unique(self.root[others], return_index=True)
+        new = roots != self.root[k]
+        if new.any():
+            self.links += [(k, int(m)) for m in others[first[new]]]
+            self.root[np.isin(self.root, roots)] = self.root[k]
 
+    def apart(self, n: int):
+        """First 0, then each member outside the largest tree: all pairs not in it have one of these."""
+        yield 0
+        largest = np.bincount(self.root).argmax()
+        yield from np.flatnonzero(self.root != largest).tolist()
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs that are similar on their full sets. A leader a is copied once for each BLOCK of its partners."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    dealt = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    need = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("member")).unionByName(
-        counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
-    )
-    rows = need.join(texts, "id").repartition("a", "part").sortWithinPartitions("a", "part", "member")
 
-    def run(batches):
-        at, own, got = None, None, 0
-        for x in batches:
-            for a, part, member, key, text in zip(x["a"], x["part"], x["member"], x["id"], x["text"], strict=True):
-                s = shingles(text, width)
-                if (a, part) != at:
-                    at, own = (a, part), s
-                if member:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(s) - both):
-                        yield a, key
+def _in_blocks(members: DataFrame, group: str, blocks: str) -> DataFrame:
+    """Deals the rows of large groups to all pairs of blocks (i, j); `blocks` says how many a group has."""
+    own = F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", blocks)
 
-    return arrow_stage(rows.select("a", "part", "member", "id", "text"), "a long, b long", run)
 
+def _candidates(members: DataFrame, least: int, percent: int) -> DataFrame:
+    """(bucket, i, j, rep, n, coords) -> links (a, b) that span, in each bucket, what may be similar by size and sketch.
 
-def _across(members: DataFrame, least: int, percent: int) -> DataFrame:
-    """(bucket, component, rep, n, coords) of unresolved buckets -> pairs (a, b) of different components that may be similar.
-
-    A bucket of more than BLOCK classes is dealt to pairs of blocks, one group each.
+    A group's output is at most one link per member, however many of its pairs agree.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "component", "rep", "n", "coords")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def compare(group):
-        if len(group) < 2:
-            return
-        comp = np.array([g[0] for g in group])
-        rep = np.array([g[1] for g in group])
-        n = np.array([g[2] for g in group])
-        coords = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
-        for k in range(len(group) - 1):
-            rest = np.flatnonzero((comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))) + k + 1
-            if len(rest):
-                for m in rest[(coords[rest] == coords[k]).sum(axis=1) >= least]:
-                    yield int(min(rep[k], rep[m])), int(max(rep[k], rep[m]))
 
-    def run(batches):
-        at, group = None, []
-        for x in batches:
-            for bucket, i, j, *row in zip(x["bucket"], x["i"], x["j"], x["component"], x["rep"], x["n"], x["coords"], strict=True):
-                if (bucket, i, j) != at:
-                    yield from compare(group)
-                    at, group = (bucket, i, j), []
-                group.append(row)
-        yield from compare(group)
+    def spanning(group):
+        m = len(group)
+        if m < 2:
+            return
+        n = np.array([g[1] for g in group])
+        coords = np.frombuffer(b"".join(g[2] for g in group), np.uint8).reshape(m, -1)
+        forest = _Forest(m)
+        for k in forest.apart(m):
+            near = ((coords == coords[k]).sum(axis=1) >= least) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            forest.join(k, np.flatnonzero(near))
+        for x, y in forest.links:
+            yield group[x][0], group[y][0]
+
+    return arrow_stage(members.select("bucket", "i", "j", "rep", "n", "coords"), "a long, b long", lambda batches: _by_group(batches, ("bucket", "i", "j"), ("rep", "n", "coords"), spanning))
+
+
+def _by_group(batches, keys: tuple, values: tuple, solve):
+    """Calls solve with the rows of each run of equal keys."""
+    at, group = None, []
+    for x in batches:
+        for key, row in zip(zip(*(x[k] for k in keys), strict=True), zip(*(x[v] for v in values), strict=True), strict=True):
+            if key != at:
+                yield from solve(group)
+                at, group = key, []
+            group.append(row)
+    yield from solve(group)
+
+
+def _links(dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cluster, i, j, rep, text) -> links (a, b) between similar sets that span each group's components.
+
+    The intersections of one set with all others of its group are counted at once, over lists of the sets that hold a
+    shingle.
+    """
 
-    return arrow_stage(dealt, "a long, b long", run).distinct()
+    def spanning(group):
+        m = len(group)
+        if m < 2:
+            return
+        sets = [shingles(t, width) for _, t in group]
+        n = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(m), n)
+        _, item = np.unique(np.concatenate(sets), return_inverse=True)
+        del sets
+        ends = np.cumsum(n)
+        by_item = np.argsort(item, kind="stable")
+        holders, sizes = owner[by_item], np.bincount(item)
+        begins = np.cumsum(sizes) - sizes
+        forest = _Forest(m)
+        for k in forest.apart(m):
+            own = item[ends[k] - n[k] : ends[k]]
+            size = sizes[own]
+            places = np.repeat(begins[own] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+            both = np.bincount(holders[places], minlength=m)
+            forest.join(k, np.flatnonzero(100 * both >= percent * (n + n[k] - both)))
+        for x, y in forest.links:
+            yield group[x][0], group[y][0]
+
+    return arrow_stage(dealt.select("cluster", "i", "j", "rep", "text"), "a long, b long", lambda batches: _by_group(batches, ("cluster", "i", "j"), ("rep", "text"), spanning))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -198,19 +220,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = least_agreement(bands * rows, percent / 100)
     classes = written(profiles.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("coords").alias("coords")), "classes")
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("bucket", "a")
-    shared = written(placed.join(leaders, "bucket").select("bucket", "rep", "a"), "buckets")
-    first = written(_agreeing(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), classes, least, percent), "pairs")
-    links = written(_confirmed(first, texts, width, percent), "links")
-    found = components(links)
-
-    held = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = held.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("bucket")
-    members = held.join(open_, "bucket").join(classes.select("rep", "n", "coords"), "rep")
-    second = written(_across(members, least, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.take(1):
-        links = written(links.unionByName(_confirmed(second, texts, width, percent)), "links")
-        found = components(links)
+    shared = placed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    members = _in_blocks(placed.join(shared, "bucket"), "bucket", "blocks").join(classes.select("rep", "n", "coords"), "rep")
+    pairs = _candidates(members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep"), least, percent)
+    clusters = components(pairs).withColumnsRenamed({"node": "rep", "component": "cluster"}).join(classes.select("rep", "n"), "rep")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    dealt = _in_blocks(clusters.drop("n").join(sizes, "cluster"), "cluster", "blocks").join(texts.withColumnRenamed("id", "rep"), "rep")
+    found = components(_links(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep"), width, percent))
     named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = profiles.select("id", "n", "digest").join(named, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -220,7 +220,7 @@ def _covers(texts: DataFrame, length: int, hot: int) -> DataFrame:
     flags = written(whole.unionByName(runs.join(single, ["h", "c"], "left_semi")), "flags")
     starts = found.join(flags, ["h", "c"]).select("id", "x", F.explode("starts").alias("s"), "runs")
     ranges = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
-    return starts.groupBy(F.col("id").alias("sid"), F.col("x").alias("sx")).agg(F.array_distinct(F.flatten(F.collect_list(ranges))).alias("cover"))
+    return starts.groupBy(F.col("id").alias("sid"), F.col("x").alias("sx")).agg(F.flatten(F.collect_list(ranges)).alias("cover"))
 
 
 def _spans(cover: list[dict] | None) -> list[dict]:

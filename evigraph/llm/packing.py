@@ -16,56 +16,18 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.bpe import KEPT_WORDS, WordBpe, default_vocabulary
+from evigraph.llm.bpe import default_vocabulary, load
 from evigraph.llm.common import arrow_stage, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class LibraryIds(WordBpe):
-    """The pre-token store, filled by the tokenizers library for all the unseen words of a batch at once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__(path)
-        self.library = Tokenizer.from_file(path)
-        self.ends = np.array([s.endswith("</w>") for s in self.strings])
-
-    def fill(self, unseen: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(unseen), add_special_tokens=False).ids, "<u4")
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        data, start = ids.tobytes(), 0
-        if len(ends) != len(unseen):
-            raise ValueError("a word was split by the library")
-        for word, end in zip(unseen, ends.tolist(), strict=True):
-            self[word] = data[start:end]
-            start = end
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        plain = [self.words(t) if t and "<|" not in t else [] for t in texts]
-        unseen = set().union(*plain).difference(self)
-        if len(self) + len(unseen) > KEPT_WORDS:
-            self.clear()
-            unseen = set().union(*plain)
-        if unseen:
-            self.fill(list(unseen))
-        get = self.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t and "<|" in t else b"".join(map(get, w)) for t, w in zip(texts, plain, strict=True)]
-
-
-@lru_cache(maxsize=1)
-def _library(path: str) -> LibraryIds:
-    return LibraryIds(path)
-
-
 class Packer:
     """Places pieces (doc id, start, ids as bytes, document's tokens); `out` gets (sequence, [pieces]) of finished windows."""
 
@@ -154,11 +116,10 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     def first(batches):
         part = TaskContext.get().partitionId()
         packer = Packer(part << 32, window, open_windows, min_cut)
-        tokens = _library(vocabulary)
+        encode = load(vocabulary).encode  # the ids of the tokenizers library, as bpe's tests check
         for b in batches:
-            for k in range(0, len(b["t"]), 64):
-                for doc, ids in zip(b["k"][k : k + 64], tokens.encode_batch(b["t"][k : k + 64]), strict=True):
-                    packer.add(doc, ids + end)
+            for doc, text in zip(b["k"], b["t"], strict=True):
+                packer.add(doc, encode(text) + end)
                 for row in _rows(packer.out):
                     yield *row, None, None
                 packer.out.clear()

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_made: list[tuple[SparkSession, str]] = []
+#: (session, folder, whether it holds tables between the steps of one operator)
+_made: list[tuple[SparkSession, str, bool]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,12 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver's process ends."""
+def new_folder(spark: SparkSession, label: str, steps: bool = True) -> str:
+    """A fresh path in the shared folder; it is removed when the driver's process ends, or by clear_steps()."""
     path = f"{shared_dir(spark)}/evigraph-llm/{label}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove_all)
-    _made.append((spark, path))
+    _made.append((spark, path, steps))
     return path
 
 
@@ -38,17 +39,24 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def clear_steps() -> None:
+    """Removes the tables between the steps of operators whose results have been written or are no longer needed."""
+    for x in [x for x in _made if x[2]]:
+        remove(x[0], x[1])
+        _made.remove(x)
+
+
 def _remove_all() -> None:
-    for spark, path in _made:
+    for spark, path, _ in _made:
         try:
             remove(spark, path)
         except Exception:  # the session is gone: the folder is left to its owner
             return
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, steps: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, label)
+    path = new_folder(df.sparkSession, label, steps)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 40) -> DataFrame:
     """GRA-02: (root, node, depth): nodes within max_depth steps, at their least distance; the root itself at 0."""
-    step = edges.select("src", "dst").distinct()
+    step = _cut(edges.select("src", "dst").distinct())
     seen = frontier = _cut(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
     for depth in range(1, max_depth + 1):
         found = frontier.join(step, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
@@ -35,7 +35,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 40) -> DataFrame:
 
 def widest(edges: DataFrame, roots: DataFrame, max_rounds: int = 40) -> DataFrame:
     """GRA-08: (node, width): best over all paths to a root, of the least confidence on the path; reversed edges, so callers."""
-    step = edges.groupBy("src", "dst").agg(F.max("confidence").alias("w"))
+    step = _cut(edges.groupBy("src", "dst").agg(F.max("confidence").alias("w")))
     best = _cut(roots.select(F.col("id").alias("node"), F.lit(1.0).alias("width")))
     changed = best
     for _ in range(max_rounds):
@@ -86,7 +86,7 @@ def levels(edges: DataFrame, components: DataFrame, max_rounds: int = 1000) -> D
 
 def propagate(edges: DataFrame, capabilities: DataFrame, max_rounds: int = 40) -> DataFrame:
     """GRA-09: (node, capability): what a node has itself or calls, directly or not; callee to caller."""
-    step = edges.select("src", "dst").distinct()
+    step = _cut(edges.select("src", "dst").distinct())
     have = frontier = _cut(capabilities.select("node", "capability").distinct())
     for _ in range(max_rounds):
         found = frontier.join(step, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "capability").distinct()

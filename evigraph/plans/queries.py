@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text
 from evigraph.operators import catalog as cat
-from evigraph.operators import diff, evidence, fixpoint, runtime
+from evigraph.operators import diff, evidence, fixpoint, models, runtime
 from evigraph.plans.adapters import catalog, frame, with_frames
+from evigraph.streaming import spans as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -331,6 +332,67 @@ _add(
     "select doc_id, count(*) as lines, max(length(line)) as longest from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by doc_id",
 )
 
+_add("agg_05_manifest", _entries(models.manifest), LISTS + ", x as (select controller, endpoint, unnest(case when len(roles) = 0 then [null] else roles end) as role, entities from c), y as (select controller, endpoint, role, unnest(case when len(entities) = 0 then [null] else entities end) as entity from x) select controller, count(distinct endpoint) as endpoints, coalesce(string_agg(distinct role, ',' order by role), '') as roles, coalesce(string_agg(distinct entity, ',' order by entity), '') as entities from y group by controller")
+_add("agg_07_completeness", _entries(models.completeness), LISTS + ", n as (select count(*) as n, count(*) filter (where len(roles) > 0) as roles, count(*) filter (where len(entities) > 0) as entities, count(*) filter (where len(fields) > 0) as sensitive_fields from c) select *, floor((roles * 40 + entities * 40 + sensitive_fields * 20) / n + 0.5)::bigint as score from n")
+_add(
+    "agg_15_assessment",
+    _entries(models.assessment),
+    LISTS
+    + """, x as (select unnest(entities) as entity, endpoint, verb from c where verb <> 'OTHER'), o as (select verb, entity from x group by all having count(distinct endpoint) >= 2),
+g as (select entity from x group by entity having bool_or(verb in ('CREATE', 'UPDATE', 'DELETE')) <> bool_or(verb = 'READ'))
+select count(*) as entries, count(*) filter (where not p) as open, (select count(*) from o) as overlaps, (select count(*) from g) as gaps from c""",
+)
+_add(
+    "agg_20_churn_entropy",
+    lambda spark, d: models.churn_entropy(frame(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("grp"), F.col("l_suppkey").alias("file"))),
+    "with p as (select l_orderkey % 50 as grp, l_suppkey as file, count(*) as n from lineitem group by all), s as (select grp, sum(n)::bigint as changes, count(*) as files, sum(n * log2(n)) as s from p group by grp) select grp, changes, files, case when files < 2 then 0.0 else round((log2(changes) - s / changes) / log2(files), 4) end as entropy from s",
+)
+_add("agg_22_hot_symbols", _graph(lambda e, n: models.hot_symbols(e)), with_frames("edges") + " select dst, count(distinct src) as callers from edges where rel = 'CALLS' group by dst order by callers desc, dst limit 5")
+CONFIRMED = GRAPH + ", o as (select distinct src, dst from em where observed), s as (select distinct src, dst, m from em where not observed) select m as method, count(*) as pairs, count(o.src) as confirmed, round(count(o.src) / count(*), 4) as rate from s left join o on s.src = o.src and s.dst = o.dst group by m"
+_add("join_15_confirmations", _graph(models.confirmations), CONFIRMED)
+_add("agg_23_reliability", _graph(models.reliability))
+CONCEPTS = {"steel": "(?i)steel", "brass": "(?i)brass", "large": "(?i)^large", "plated": "(?i)plated", "none": "zzzz"}
+_add("agg_27_concepts", lambda spark, d: models.concept_coverage(frame(spark, d, "part").select(F.col("p_type").alias("name")), CONCEPTS), " union all ".join(f"select '{c}' as concept, count(*) as names from part where regexp_matches(p_type, '{p}')" for c, p in CONCEPTS.items()))
+_add("agg_29_group_pairs", _graph(models.group_pairs), GRAPH + " select a.type as src_type, b.type as dst_type, count(*) as edges, max(conf) as best, min(conf) as worst from ec join nodes a on src = a.id join nodes b on dst = b.id group by all")
+_add("top_07_per_controller", _entries(models.top_per_group), CAT + " select controller, entry_id, criticality, rank from (select *, row_number() over (partition by controller order by criticality desc, entry_id) as rank from catalog) where rank <= 12")
+_add("agg_32_policy_matrix", _entries(models.policy_matrix), LISTS + ", x as (select unnest(case when p then roles else ['PUBLIC'] end) as role, http_method, entities from c), y as (select role, http_method, unnest(entities) as entity from x) select role, entity, string_agg(distinct http_method, ',' order by http_method) as methods, count(*) as endpoints from y group by role, entity")
+_add("imp_01_impact", _entries(lambda e: models.impact_of(e, "Order")), LISTS + " select entry_id, endpoint, http_method from c where list_contains(entities, 'Order')")
+_add("imp_01_impact_by_part", _entries(lambda e: models.impact_of(e, "machin")), LISTS + " select entry_id, endpoint, http_method from c where len(list_filter(entities, lambda x: contains(lower(x), 'machin'))) > 0")
+_add("prj_11_malformed", _entries(models.malformed), CAT + " select entry_id, regexp_matches(endpoint, '//|\\s') or not starts_with(endpoint, '/') as malformed from catalog")
+_add(
+    "ui_08_authorization_flow",
+    _entries(models.authorization_flow),
+    LISTS + ", u as (select case when not p then 'open' when list_contains(roles, 'ADMIN') then 'admin' else 'role' end as guard, coalesce(entities[1], '-') as entity, count(*) as n from c group by 1, 2), r as (select guard, case when row_number() over (partition by guard order by n desc, entity) <= 3 then entity else 'others' end as entity, n from u) select guard, entity, sum(n)::bigint as n from r group by guard, entity",
+)
+_add("set_01_union_unseen", _entries(lambda e: models.union_unseen(e.where("entry_id % 3 = 0"), e.where("entry_id % 2 = 0"), e)), CAT + ", u as (select endpoint, http_method, entry_id, 0 as source from catalog where entry_id % 3 = 0 union all select endpoint, http_method, entry_id, 1 from catalog where entry_id % 2 = 0 union all select endpoint, http_method, entry_id, 2 from catalog) select endpoint, http_method, min(source) as source, arg_min(entry_id, row(source, entry_id)) as entry_id from u group by endpoint, http_method")
+_add(
+    "set_03_role_changes",
+    _entries(lambda e: models.role_changes(e.where("entry_id % 4 < 2"), e.where("entry_id % 4 > 1"))),
+    LISTS
+    + """, x as (select controller, entry_id % 4 as k, unnest(roles) as r from c), a as (select distinct controller, r from x where k < 2), b as (select distinct controller, r from x where k > 1), k as (select controller from a union select controller from b),
+z as (select controller, coalesce((select string_agg(r, ',' order by r) from b where b.controller = k.controller and r not in (select a.r from a where a.controller = k.controller)), '') as added,
+  coalesce((select string_agg(r, ',' order by r) from a where a.controller = k.controller and r not in (select b.r from b where b.controller = k.controller)), '') as removed from k) select *, added = '' and removed = '' as equal from z""",
+)
+_add("str_08_health", _spans(models.health), SPANS + ", s as (select service, op, floor((floor(epoch((select max(start_ts) from spans))) - floor(epoch(max(start_ts)))) / 3600)::bigint as age_hours from spans group by service, op) select *, case when age_hours <= 24 then 'fresh' when age_hours <= 168 then 'stale' else 'absent' end as state from s")
+_add(
+    "str_sessions",
+    _spans(models.sessions),
+    SPANS + ", l as (select user_id, start_ts, case when lag(start_ts) over w is null or start_ts - lag(start_ts) over w >= interval 6 hour then 1 else 0 end as b from spans window w as (partition by user_id order by start_ts)), s as (select user_id, start_ts, sum(b) over (partition by user_id order by start_ts) as g from l) select user_id, min(start_ts) as began, count(*) as spans from s group by user_id, g",
+)
+_add("ext_24_suffixes", _entries(lambda e: models.suffixes(e.select(F.concat(F.initcap(F.regexp_replace("controller", "[0-9]", "")), F.initcap("operation"), F.element_at(F.split("endpoint", "/"), -1), F.lit("RestController")).alias("name")))))
+_add(
+    "ext_05_permissions",
+    lambda spark, d: models.permissions(frame(spark, d, "catalog").select(F.concat("controller", F.lit("-"), "entry_id").alias("path"), F.concat(F.lit("class X { "), F.when(F.col("roles").contains("MANAGER"), '@HasPermission("MANAGER") ').otherwise(""), F.when(F.col("roles").contains("ADMIN"), '@HasPermission("ADMIN") ').otherwise(""), F.when(F.col("roles") == "AUTHENTICATED", "@IsAuthenticated ").otherwise(""), F.col("operation"), F.lit("() }")).alias("content"))),
+    CAT + " select controller || '-' || entry_id as path, roles as permissions from catalog",
+)
+_add(
+    "gra_14_runtime_gap",
+    _graph(lambda e, n: fixpoint.reach(e.where("rel = 'CALLS'"), _roots(n.where("not runtime_hot"))).groupBy("root").agg((F.count("*") - 1).alias("reach")).orderBy(F.desc("reach"), "root").limit(25)),
+    "with recursive " + with_frames("nodes", "edges")[5:] + ", st as (select distinct src, dst from edges where rel = 'CALLS'), r(root, node) as (select id, id from nodes where type = 'VIEW' and id like '%97' and not runtime_hot union select root, dst from r join st on node = src) select root, count(*) - 1 as reach from r group by root order by reach desc, root limit 25",
+)
+_add("str_02_stream_table_hits", lambda spark, d: streams.run_available(streams.table_hits(streams.events(spark, d))), SPANS + " select table_name, count(*) as hits from spans where table_name is not null group by table_name")
+_add("str_window_counts", lambda spark, d: streams.run_available(streams.windowed(streams.events(spark, d))), "select date_trunc('hour', ts) as began, event_type, count(*) as n from events group by all")
+
 
 def queries() -> dict[str, Query]:
     return {k: q for k, (q, _) in _ALL.items()}

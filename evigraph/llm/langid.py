@@ -2,11 +2,11 @@
 
 A text becomes a vector of hashed letter n-grams (1 to 3, over lower-cased letters with all else as one gap), weighted by
 1 + log(count) and inverse document frequency, of length 1. Each language has several centroids, found by spherical
-k-means. The nearest centroid by cosine gives the language; a text whose cosine lies under the floor of its language and
-length is rejected: it is too far from everything learned.
+k-means. The nearest centroid by cosine gives the language; a text that is farther than `most_distance` (1 - cosine) from
+all centroids is rejected. Texts of a few words in a learned language lie within 0.85; noise and other scripts beyond 0.9.
 
-Learning uses at most `per_language` labelled rows of each language, those with the least hashes of their id; frequencies,
-centroids and floors come from these rows. Prediction takes every whole text of all rows.
+Learning uses at most `per_language` labelled rows of each language, those with the least hashes of their id; frequencies
+and centroids come from these rows. Prediction takes every whole text of all rows.
 
 Rows: a null text, or one without letters, is `und` with score 0, and rejected; with nothing to learn from all are `und`;
 repeated rows give repeated results; ties go to the language that sorts first; other columns are ignored.
@@ -28,6 +28,8 @@ DIMS = 1 << 13
 UND = "und"
 #: Languages that one model may have: bounds what the driver and each worker hold (3 vectors of 32 KB each).
 MOST_LANGUAGES = 2000
+#: Farthest that a text may be from its nearest centroid.
+MOST_DISTANCE = 0.88
 
 
 @lru_cache(maxsize=1)
@@ -60,11 +62,6 @@ def weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.linalg.norm(w)
 
 
-def _bucket(dims: np.ndarray) -> int:
-    """Length class: distinct n-grams in powers of two."""
-    return int(len(dims)).bit_length()
-
-
 def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Spherical k-means; the first centre is the mean, the next ones are the farthest rows."""
     mean = x.mean(axis=0)
@@ -83,7 +80,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, centroids: int = 3) -> dict:
-    """The model, a few MB: languages, idf, centroids and floors. Rows where `train` holds and the language isn't null are used."""
+    """The model, a few MB: languages, idf and centroids. Rows where `train` holds and the language isn't null are used."""
     rows = df.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -122,31 +119,18 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
 
         pdf = pdf.sort_values(["h", "dims"])
         x = np.zeros((len(pdf), DIMS), np.float32)
-        buckets = np.zeros(len(pdf), np.int64)
         for k, (d, n) in enumerate(zip(pdf.dims, pdf.n, strict=True)):
             d = np.frombuffer(d, "<i4")
             x[k, d] = weights(np.frombuffer(n, "<i4"), idf[d])
-            buckets[k] = _bucket(d)
         c = _clusters(x, centroids, 8)
-        near = (x @ c.T).max(axis=1)
-        floors = {int(b): float(near[buckets == b].min()) for b in np.unique(buckets)}
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "model": [pickle.dumps((c.astype("<f4"), floors))]})
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "model": [pickle.dumps(c.astype("<f4"))]})
 
     found = sorted((r["lang"], r["model"]) for r in chosen.groupBy("lang").applyInPandas(cluster, "lang string, model binary").collect())
     parts = [pickle.loads(m) for _, m in found]
-    return {"langs": [lang for lang, _ in found], "idf": idf, "of": np.repeat(np.arange(len(parts)), [len(c) for c, _ in parts]), "centroids": np.concatenate([c for c, _ in parts]).T.copy(), "floors": [f for _, f in parts]}
-
-
-def floor_of(floors: dict[int, float], bucket: int, slack: float) -> float:
-    """slack times the least cosine seen in learning at that length or, where none was seen, at the next longer one, scaled to the length."""
-    known = [b for b in floors if b >= bucket]
-    if not known:
-        return slack * floors[max(floors)] if floors else 0.0
-    b = min(known)
-    return slack * floors[b] * 2 ** ((bucket - b) / 2)
+    return {"langs": [lang for lang, _ in found], "idf": idf, "of": np.repeat(np.arange(len(parts)), [len(c) for c in parts]), "centroids": np.concatenate(parts).T.copy()}
 
 
-def predict_text(model: dict, text: str | None, slack: float) -> tuple[str, float, bool]:
+def predict_text(model: dict, text: str | None, most_distance: float) -> tuple[str, float, bool]:
     """(language, cosine from 0 to 1, rejected)."""
     if not model["langs"]:
         return UND, 0.0, True
@@ -156,22 +140,22 @@ def predict_text(model: dict, text: str | None, slack: float) -> tuple[str, floa
     near = weights(counts, model["idf"][dims]).astype(np.float32) @ model["centroids"][dims]
     best = int(near.argmax())
     lang, score = int(model["of"][best]), float(min(1.0, max(0.0, near[best])))
-    return model["langs"][lang], score, score < floor_of(model["floors"][lang], _bucket(dims), slack)
+    return model["langs"][lang], score, 1 - score > most_distance
 
 
-def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.5) -> DataFrame:
+def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", most_distance: float = MOST_DISTANCE) -> DataFrame:
     """One row per input row: id, lang_pred, score and rejected."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         for b in batches:
             for key, text in zip(b["k"], b["t"], strict=True):
-                yield key, *predict_text(shared.value, text, slack)
+                yield key, *predict_text(shared.value, text, most_distance)
 
     return arrow_stage(df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")), f"`{id_col}` long, lang_pred string, score double, rejected boolean", rows)
 
 
-def keep_known(df: DataFrame, model: dict, text_col: str = "text", slack: float = 0.5) -> DataFrame:
+def keep_known(df: DataFrame, model: dict, text_col: str = "text", most_distance: float = MOST_DISTANCE) -> DataFrame:
     """The rows that aren't rejected, all their columns as they were."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
@@ -179,7 +163,7 @@ def keep_known(df: DataFrame, model: dict, text_col: str = "text", slack: float
     def rows(batches):
         for b in batches:
             for row in zip(*b.values(), strict=True):
-                if not predict_text(shared.value, row[at], slack)[2]:
+                if not predict_text(shared.value, row[at], most_distance)[2]:
                     yield row
 
     return arrow_stage(df, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]), rows)

@@ -100,3 +100,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     return read_back(expand(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
+SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n as (select *, 15 + 2 * length(r) - length(regexp_replace(r, '[\\#<:]', '', 'g')) + 2 * length(t) - length(regexp_replace(t, '[\\#<]', '', 'g')) as chars from c),
+p as (select *, sum(chars) over w as upto, row_number() over w as k, count(*) over (partition by conv_id) as turns from n window w as (partition by conv_id order by turn, r, t rows unbounded preceding)),
+e as (select *, r = 'assistant' as target, r = 'assistant' or k = turns as example from p),
+g as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by k)) as turns_sha256, coalesce(string_agg(t, '' order by k) filter (where target), '') as loss,
+         (sum(upto) filter (where example))::bigint as formatted_chars, count(*) filter (where example) as n_examples from e group by conv_id)
+select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars, n_examples from g
+"""

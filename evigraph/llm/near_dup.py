@@ -242,3 +242,19 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) = 1 then ws else list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) end) as g from w where len(ws) > 0),
+z as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select i.a, i.b from i join z x on i.a = x.doc_id join z y on i.b = y.doc_id where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+m as (select a, min(b) as b from r group by a)
+select w.doc_id, coalesce(z.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) as component_id, w.doc_id <= coalesce(m.b, w.doc_id) as kept
+from w left join z on w.doc_id = z.doc_id left join m on w.doc_id = m.a
+"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index": warc.SQL, "op8_host_rules": host_rules.SQL}
+    return {"op1_chat_prefix_targets": chat.SQL, "op3_warc_index": warc.SQL, "op8_host_rules": host_rules.SQL, "op9_near_duplicates": near_dup.SQL}

@@ -314,7 +314,7 @@ _add("win_01_latest_two", lambda spark, d: cat.latest_two(frame(spark, d, "runs"
 _add(
     "fn_07_08_urls",
     lambda spark, d: frame(spark, d, "pages").select("page_id", text.strip_query(F.col("url")).alias("bare"), text.external_domain(F.col("url")).alias("host"), text.path_of(F.col("url")).alias("path")),
-    "select page_id, regexp_replace(url, '[?#].*$', '') as bare, lower(nullif(regexp_extract(url, '^[hH][tT][tT][pP][sS]?://([^/:?#]+)', 1), '')) as host, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[hH][tT][tT][pP][sS]?://[^/]*', ''), '/+$', ''), ''), '/') as path from pages",
+    "select page_id, string_split(url, '?')[1] as bare, nullif(regexp_extract(url, '^[hH][tT][tT][pP][sS]?://([^/]+)', 1), '') as host, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[hH][tT][tT][pP][sS]?://[^/]*', ''), '/+$', ''), ''), '/') as path from pages",
 )
 _add(
     "fn_01_snake_case",
@@ -322,9 +322,9 @@ _add(
     CAT + r" select entry_id, lower(regexp_replace(regexp_replace(controller || upper(operation[1]) || lower(operation[2:]), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) as name from catalog",
 )
 _add(
-    "join_09_host_prefix",
+    "fn_08_hosts",
     lambda spark, d: frame(spark, d, "pages").select(text.external_domain(F.col("url")).alias("host"), F.element_at(F.split(text.path_of(F.col("url")), "/"), 2).alias("prefix")).groupBy("host", "prefix").agg(F.count("*").alias("n")),
-    "select lower(nullif(regexp_extract(url, '^[hH][tT][tT][pP][sS]?://([^/:?#]+)', 1), '')) as host, string_split(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[hH][tT][tT][pP][sS]?://[^/]*', ''), '/+$', ''), ''), '/'), '/')[2] as prefix, count(*) as n from pages group by all",
+    "select nullif(regexp_extract(url, '^[hH][tT][tT][pP][sS]?://([^/]+)', 1), '') as host, string_split(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[hH][tT][tT][pP][sS]?://[^/]*', ''), '/+$', ''), ''), '/'), '/')[2] as prefix, count(*) as n from pages group by all",
 )
 _add(
     "src_11_text_lines",

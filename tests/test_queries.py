@@ -1,6 +1,6 @@
 import pytest
 
-from evigraph.plans import queries as plans
+from evigraph.plans import extraction as plans
 from tests.conftest import SF
 
 

@@ -83,8 +83,17 @@ class WordBpe(dict):
         chars = byte_characters()
         self.inner = [vocab[c] for c in chars]
         self.final = [vocab[c + end] for c in chars]
-        #: (left id, right id) as one integer -> (rank, id of the merged symbol)
-        self.merges = {vocab[a] << 20 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, model["merges"]))}
+        #: left id -> right id -> rank, from 1 on; rank -> id of the merged symbol
+        none: dict[int, int] = {}
+        self.rights = [none] * len(self.strings)
+        self.merged = [-1]
+        for rank, (a, b) in enumerate(map(tuple, model["merges"]), 1):
+            left = vocab[a]
+            if self.rights[left] is none:
+                self.rights[left] = {}
+            self.rights[left][vocab[b]] = rank
+            self.merged.append(vocab[a + b])
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.strings))]
         pieces = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find_latin, self.find_any = _finders(pieces)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
@@ -92,7 +101,7 @@ class WordBpe(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self[word] = np.array(self.merge(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self[word] = b"".join([self.packed[i] for i in self.merge(word.encode("utf-8", "surrogatepass"))])
         return ids
 
     def merge(self, word: bytes) -> list[int]:
@@ -102,10 +111,12 @@ class WordBpe(dict):
         symbol[last] = self.final[word[last]]
         if not last:
             return symbol
-        merges = self.merges
+        rights, merged = self.rights, self.merged
+        queue = [rank << 32 | i for i, (a, b) in enumerate(zip(symbol, symbol[1:], strict=False)) if (rank := rights[a].get(b))]
+        if not queue:
+            return symbol
         after = list(range(1, last + 2))
         before = list(range(-1, last))
-        queue = [pair[0] << 32 | i for i in range(last) if (pair := merges.get(symbol[i] << 20 | symbol[i + 1]))]
         heapq.heapify(queue)
         pop, push = heapq.heappop, heapq.heappush
         while queue:
@@ -114,19 +125,19 @@ class WordBpe(dict):
             j = after[i]
             if j > last or symbol[i] < 0:
                 continue
-            pair = merges.get(symbol[i] << 20 | symbol[j])
-            if pair is None or pair[0] != entry >> 32:
+            rank = entry >> 32
+            if rights[symbol[i]].get(symbol[j]) != rank:
                 continue  # stale: one of the two symbols has been merged since
-            symbol[i] = pair[1]
+            new = symbol[i] = merged[rank]
             symbol[j] = -1
             k = after[i] = after[j]
             if k <= last:
                 before[k] = i
-                if pair := merges.get(symbol[i] << 20 | symbol[k]):
-                    push(queue, pair[0] << 32 | i)
+                if rank := rights[new].get(symbol[k]):
+                    push(queue, rank << 32 | i)
             h = before[i]
-            if h >= 0 and (pair := merges.get(symbol[h] << 20 | symbol[i])):
-                push(queue, pair[0] << 32 | h)
+            if h >= 0 and (rank := rights[symbol[h]].get(new)):
+                push(queue, rank << 32 | h)
         return [s for s in symbol if s >= 0]
 
     def words(self, text: str) -> list[str]:

@@ -180,14 +180,14 @@ s as (select root, src, dst, rel, depth, row_number() over (partition by root or
 
 
 def _narrative(e: DataFrame, n: DataFrame) -> DataFrame:
-    seeds = n.where("type = 'ENTITY' and sensitive and id like '%77'").select("id")
+    seeds = n.where("type = 'ENTITY' and sensitive and id like '%7'").select("id")
     return walks.narrative(e.withColumn("refuted", F.expr("weight = 6")), n, seeds)
 
 
 _add(
     "gra_22_narrative",
     _graph(_narrative),
-    "with recursive " + GRAPH[5:] + """, r(node) as (select id from nodes where type = 'ENTITY' and sensitive and id like '%77' union select src from r join (select distinct src, dst from ex) on dst = node),
+    "with recursive " + GRAPH[5:] + """, r(node) as (select id from nodes where type = 'ENTITY' and sensitive and id like '%7' union select src from r join (select distinct src, dst from ex) on dst = node),
 w as (select src, dst, rel, seq, m, conf, case when weight = 6 and m <> 'RUNTIME_OBSERVED' then 'refuted' when m in ('RUNTIME_OBSERVED', 'STATIC_PROVEN') then 'walkable' end as verdict from ec where src in (select node from r) and dst in (select node from r))
 select src, dst, rel, arg_min(verdict, seq) as verdict, arg_min(m, seq) as method, arg_min(conf, seq) as confidence from w where verdict is not null group by src, dst, rel""",
 )
@@ -225,17 +225,16 @@ _add(
     having("calls") + ", a as (select distinct url as a from calls), b as (select distinct '/' || lower(replace(n_name, ' ', '-')) as b from nation) select a, b from a join b on suffix(a, b) or suffix(b, a)",
 )
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
-    files = frame(spark, d, "catalog").select(F.concat(F.lit("src/"), F.initcap(F.get(F.split("endpoint", "/"), 4)), F.lit("Service.java")).alias("path"))
-    records = frame(spark, d, "customer").select((F.col("c_custkey") % 50).alias("id")).distinct().withColumn("k", F.col("id") % 7)
-    lands = frame(spark, d, "nation").select((F.col("n_nationkey") % 7).cast("long").alias("k"), F.initcap("n_name").alias("n"))
-    return matching.decisions_for(files, records.join(lands, "k").groupBy("id").agg(F.collect_set("n").alias("symbols")))
+    files = frame(spark, d, "catalog").select(F.concat(F.lit("src/"), F.initcap(F.get(F.split("endpoint", "/"), 3)), F.lit("Service.java")).alias("path"))
+    records = frame(spark, d, "customer").groupBy((F.col("c_custkey") % 97).alias("id")).agg(F.collect_set(F.concat(F.initcap("c_mktsegment"), F.lit("s"))).alias("symbols"))
+    return matching.decisions_for(files, records)
 
 
 _add(
     "imp_08_decisions",
     _decisions,
-    having("catalog") + """, f as (select distinct upper(string_split(endpoint, '/')[5][1]) || string_split(endpoint, '/')[5][2:] as s from catalog), s as (select s from f where regexp_matches(s, '^[A-Z][a-z]{3,}$')),
-d as (select distinct c_custkey % 50 as id from customer), h as (select id, upper(n_name[1]) || lower(n_name[2:]) as n from d join nation on n_nationkey % 7 = id % 7)
-select id, count(*) as score, string_agg(n, ',' order by n) as matched from h where n in (select s from s) group by id order by score desc, id limit 5""",
+    having("catalog") + """, f as (select distinct upper(string_split(endpoint, '/')[4][1]) || string_split(endpoint, '/')[4][2:] as s from catalog),
+h as (select distinct c_custkey % 97 as id, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || 's' as n from customer)
+select id, count(*) as score, string_agg(n, ',' order by n) as matched from h where n in (select s from f where regexp_matches(s, '^[A-Z][a-z]{3,}$')) group by id order by score desc, id limit 5""",
 )
 _add("ext_24_dominant_suffixes", _entries(lambda e: extract.dominant_suffixes(e.select(F.concat("controller", F.lit("/"), "entry_id", F.lit(".java")).alias("path"), F.concat(F.initcap("operation"), F.lit("RestController")).alias("name")))))

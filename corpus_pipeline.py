@@ -28,9 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes byte strings of 400 that occur elsewhere out of the texts."""
+    """Takes passages of over 50 words that occur elsewhere out of the texts."""
     clear_steps()
-    return repeats.without_repeats(docs)
+    return repeats.without_passages(docs, words=51)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Removal of long repeated byte strings by column-wise suffix construction over many documents.
 
-A byte is removed if a string of `length` bytes that covers it also starts anywhere else in the table.
+A byte is removed if a string of `length` bytes that covers it also starts anywhere else in the table. without_passages()
+measures in words instead: each word becomes CODE bytes of its hash, and the same construction runs over these.
 
 Inserting one symbol per document each round over whole documents takes as many rounds as the longest document has bytes,
 and each round passes over all that was inserted before. So the documents are first cut where equal strings must agree:
@@ -23,7 +24,9 @@ other; matches never cross documents; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -37,6 +40,12 @@ from evigraph.llm.near_dup import _mix
 GRAM = 32
 #: Contexts in one batch, but for a larger anchor group; columns beyond SPOOL bytes are kept in a file.
 BATCH, SPOOL = 20_000, 64 << 20
+#: Bytes that stand for a word where passages are measured in words; different words share them with a probability of 2^-32.
+CODE = 4
+#: Scripts without spaces, of which each character is a word, and what is not of any word: spaces and punctuation.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_NOT_WORD = r"\s!-/:-@\[-`{-~\xa1\xab\xb7\xbb\xbf\u2000-\u206f\u3000-\u303f\uff01-\uff0f"
+WORD = re.compile(f"[{_SINGLE}]|[^{_NOT_WORD}{_SINGLE}]+(?:['\u2019-][^{_NOT_WORD}{_SINGLE}]+)*")
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -67,10 +76,34 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return v[at[first]], at[first], first, last
 
 
-def _bytes(text: str | None) -> bytes:
+def _bytes(text: str | bytes | None) -> bytes:
+    if isinstance(text, bytes):
+        return text
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+class _Codes(dict):
+    """The bytes of each word; a store for speed, emptied when full."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 200_000:
+            self.clear()
+        code = self[word] = xxhash.xxh32_digest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def _coded(texts: DataFrame) -> DataFrame:
+    """id, x and, as text, the codes of the text's words one after the other."""
+
+    def run(batches):
+        codes = _Codes()
+        for b in batches:
+            for key, x, text in zip(b["id"], b["x"], b["text"], strict=True):
+                yield key, x, b"".join([codes[w] for w in WORD.findall(text or "")])
+
+    return arrow_stage(texts.select("id", "x", "text"), "id long, x long, text binary", run)
+
+
 def _occurrences(texts: DataFrame, length: int) -> DataFrame:
     """One row per document and distinct context: h, c, starts (of the first window, ascending), off (anchor - start), w (windows - 1)."""
 
@@ -263,15 +296,19 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     keys = (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
     texts = df.select(keys[0].alias("id"), F.col(text_col).cast("string").alias("text"), keys[1].alias("x"))
+    return _taken_out(df, keys, _covers(texts, length, hot), text_col, lambda text, spans: _without(_bytes(text), spans).decode("utf-8", "ignore"))
+
+
+def _taken_out(df: DataFrame, keys: tuple, covers: DataFrame, text_col: str, without: Callable[[str, list[dict]], str]) -> DataFrame:
     names = df.columns
     at, size = names.index(text_col), names.index("n_chars") if "n_chars" in names else -1
-    joined = df.withColumns({"__id": keys[0], "__x": keys[1]}).join(_covers(texts, length, hot), F.col("__id").eqNullSafe(F.col("sid")) & (F.col("__x") == F.col("sx")), "left").select(*[F.col(f"`{c}`") for c in names], F.col("cover").alias("__cover"))
+    joined = df.withColumns({"__id": keys[0], "__x": keys[1]}).join(covers, F.col("__id").eqNullSafe(F.col("sid")) & (F.col("__x") == F.col("sx")), "left").select(*[F.col(f"`{c}`") for c in names], F.col("cover").alias("__cover"))
 
     def remove(batches):
         for b in batches:
             for *row, cover in zip(*b.values(), strict=True):
                 if cover:
-                    row[at] = _without(_bytes(row[at]), _spans(cover)).decode("utf-8", "ignore")
+                    row[at] = without(row[at], _spans(cover))
                     if size >= 0:
                         row[size] = len(row[at])
                 yield tuple(row)
@@ -279,6 +316,29 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return arrow_stage(joined, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]), remove)
 
 
+def _without_words(text: str, spans: list[dict]) -> str:
+    """The text without the words of the code ranges, and without what separates each range from the word after it."""
+    at = [m.span() for m in WORD.finditer(text)]
+    kept, done = [], 0
+    for s in spans:
+        first, after = s["start"] // CODE, -(-s["end"] // CODE)
+        kept.append(text[done : at[first][0]])
+        done = at[after][0] if after < len(at) else at[after - 1][1]
+    return "".join([*kept, text[done:]])
+
+
+def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 51, hot: int = 20_000) -> DataFrame:
+    """The same rows and columns with the passages of `words` words or more that stand anywhere else taken out of the text, and
+    n_chars (if there) following.
+
+    Passages are alike if their words are, in order and case; spaces and punctuation between the words don't count. Rows with
+    nothing to remove stay as they are.
+    """
+    keys = (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    texts = df.select(keys[0].alias("id"), F.col(text_col).cast("string").alias("text"), keys[1].alias("x"))
+    return _taken_out(df, keys, _covers(_coded(texts), words * CODE, hot), text_col, _without_words)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

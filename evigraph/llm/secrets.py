@@ -6,20 +6,28 @@ cost reaches `min_cost` becomes a span of kind `cred`.
 
 Kinds `assign`, `access` and `hex` are the fixed patterns. Spans are in code points, the end is exclusive.
 
+Words are ranked by three lists, of which the best rank counts: WORDS, the whole words of the tokenizer's vocabulary in the order
+of their merges, and the words of the table itself by the number of documents that hold them outside of credential values.
+
 Rows: a null or empty text has no spans; texts are scanned whole; repeated rows give repeated results; other columns are
-ignored. Work and memory are linear in the text's length: segments of the cost model are at most LONGEST characters.
+ignored. Repeats and walks are segments of any length, so work grows with the square of a value's length, in array operations;
+for the rest of a text it is linear.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigraph.llm.bpe import default_vocabulary
 from evigraph.llm.common import arrow_stage
 
 KINDS = ("assign", "access", "hex", "cred")
@@ -27,8 +35,9 @@ KINDS = ("assign", "access", "hex", "cred")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Credential contexts of the cost model; wider than ASSIGN.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)["']?[\x20\t]*(?:[:=]|=>)[\x20\t]*["']?([^\s"',;<>(){}]{6,})""", re.I | re.A)
+#: Credential contexts of the cost model; wider than ASSIGN. Keys that other words end in begin after no letter, or at a capital
+#: letter after a small one (accessToken).
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|(?-i:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?:pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth))["']?[\x20\t]*(?:[:=]|=>)[\x20\t]*["']?([^\s"',;<>(){}]{6,})""", re.I | re.A)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -45,19 +54,46 @@ WORDS = (
 #: Keyboard rows and orders along which walks go, either way.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv", "qazwsxedcrfv")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-LONGEST = 24
+#: What counts as a word of the table: letters only; in so many documents at least, and so many words at most, the most frequent.
+WORD = re.compile(r"[^\W\d_]{3,24}")
+LEAST, MOST = 3, 100_000
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, float], frozenset[str], int]:
-    ranks = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
-    steps = frozenset(a + b for row in WALKS for line in (row, row[::-1]) for a, b in zip(line, line[1:], strict=False))
-    return ranks, steps, max(map(len, WORDS))
+def _ranks(words: list[str]) -> dict[str, float]:
+    return {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value."""
-    ranks, steps, longest_word = _tables()
+@lru_cache(maxsize=1)
+def _tables() -> tuple[dict[str, float], frozenset[str]]:
+    with open(default_vocabulary(), encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    whole = [p[:-4] for p in sorted(pieces, key=pieces.get) if p.endswith("</w>")]
+    ranks = _ranks([w for w in whole if WORD.fullmatch(w)])
+    for w, rank in _ranks(list(WORDS)).items():
+        ranks[w] = min(rank, ranks.get(w, rank))
+    steps = frozenset(a + b for row in WALKS for line in (row, row[::-1]) for a, b in zip(line, line[1:], strict=False))
+    return ranks, steps
+
+
+def _repeats(low: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the maximal repeats: twice the period or longer, and no repeat of a part of the period."""
+    a = np.array([ord(c) for c in low], np.uint32)
+    n = len(a)
+    found: list[tuple[int, int, int]] = []
+    for p in range(1, n // 2 + 1):
+        if not (a[p::p] == a[: n - p : p][: len(a[p::p])]).any():  # a repeat holds a multiple of its period
+            continue
+        edges = np.flatnonzero(np.diff(np.r_[False, a[p:] == a[:-p], False].view(np.int8)))
+        for s, e in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+            if e - s >= p and not any(p % q == 0 and t <= s and e + p <= z for t, z, q in found):
+                found.append((s, e + p, p))
+    return found
+
+
+def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
+    """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value. words: costs of further words."""
+    ranks, steps = _tables()
+    words = words or {}
     n = len(value)
     low = value.lower()
     if len(low) != n:
@@ -68,44 +104,72 @@ def guess_cost(value: str) -> float:
     for start in range(n):
         if value[start].isdigit() and (m := DATE.match(value, start)):
             dates.setdefault(m.end(), []).append(start)
-    best = [0.0] * (n + 1)
-    walk = run = 0  # characters of the keyboard walk, and of the run of one character, that end here
-    periods = dict.fromkeys((2, 3, 4), 0)  # characters that equal the one so many places before
     extra = 0.3  # for guessing where segments begin
+    # (start, end, least size, cost but for log10 of the size): any part of such a stretch can be a segment
+    stretches = [(s, e, max(3, 2 * p), p * per_char - math.log10(p) + extra) for s, e, p in _repeats(low)]
+    start = 0
+    for at in range(1, n + 1):
+        if at == n or low[at - 1 : at + 1] not in steps:
+            stretches.append((start, at, 3, math.log10(20) + extra))
+            start = at
+    ending: dict[int, list[tuple[int, int, float]]] = {}
+    for s, e, least, base in stretches:
+        for end in range(s + least, e + 1):
+            ending.setdefault(end, []).append((s, least, base))
+    logs = np.log10(np.arange(1, n + 2))
+    best = np.zeros(n + 1)
     for end in range(1, n + 1):
-        c = low[end - 1]
         cost = best[end - 1] + per_char
-        same = end > 1 and low[end - 2] == c
-        run = run + 1 if same else 1
-        walk = walk + 1 if end > 1 and low[end - 2 : end] in steps else 1
-        for size in (*range(3, min(run, LONGEST) + 1), *[run] * (run > LONGEST)):
-            cost = min(cost, best[end - size] + per_char + math.log10(size) + extra)
-        for size in (*range(3, min(walk, LONGEST) + 1), *[walk] * (walk > LONGEST)):
-            cost = min(cost, best[end - size] + math.log10(20 * size) + extra)
-        for period in periods:
-            periods[period] = periods[period] + 1 if end > period and low[end - 1 - period] == c else 0
-            size = periods[period] + period
-            if periods[period] >= period and size <= LONGEST:
-                cost = min(cost, best[end - size] + period * per_char + math.log10(size / period) + extra)
+        for s, least, base in ending.get(end, ()):
+            stop = end - least + 1
+            cost = min(cost, base + (best[s:stop] + logs[end - stop : end - s][::-1]).min())
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + 4.6 + extra)
-        for size in range(3, min(longest_word, end) + 1):
-            rank = ranks.get(low[end - size : end])
-            if rank is not None:
+        for size in range(3, min(24, end) + 1):
+            part = low[end - size : end]
+            rank = min(ranks.get(part, math.inf), words.get(part, math.inf))
+            if rank < math.inf:
                 word = value[end - size : end]
                 cost = min(cost, best[end - size] + rank + extra + (0 if word.islower() else 0.3 if word.isupper() or word[:1].isupper() else 1))
         best[end] = cost
-    return best[n]
+    return float(best[n])
+
+
+def _outside(text: str) -> set[str]:
+    """The words of a text, without the values of credential contexts and what the fixed patterns find."""
+    low = text.lower()
+    if any(h in low for h in CONTEXT_HINTS):
+        low = CONTEXT.sub(" ", ASSIGN.sub(" ", text)).lower()
+    return set(WORD.findall(low))
+
+
+def ranked_words(df: DataFrame, text_col: str = "text") -> dict[str, float]:
+    """Costs of the MOST words that most documents hold, of those in LEAST documents or more; ties by the word."""
+
+    def count(batches):
+        held: Counter = Counter()
+        for b in batches:
+            for text in b["t"]:
+                if text:
+                    held.update(_outside(text))
+                if len(held) > 200_000:
+                    yield from held.items()
+                    held.clear()
+        yield from held.items()
+
+    parts = arrow_stage(df.select(F.col(text_col).cast("string").alias("t")), "w string, n long", count)
+    top = parts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(MOST)
+    return _ranks([r["w"] for r in top.collect()])
 
 
-def scan(text: str | None, min_cost: float) -> list[tuple[str, int, int, float | None]]:
+def scan(text: str | None, min_cost: float, words: dict[str, float] | None = None) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, guess cost of the value if any), by start, then kind as in KINDS."""
     if not text:
         return []
     low = text.lower()
     found: list[tuple[int, int, int, float | None]] = []
     if any(h in low for h in ASSIGN_HINTS):
-        found += [(m.start(), 0, m.end(), guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [(m.start(), 0, m.end(), guess_cost(m[2], words)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
@@ -115,7 +179,7 @@ def scan(text: str | None, min_cost: float) -> list[tuple[str, int, int, float |
             start, end = m.span(1)
             if any(s < end and start < e for s, e in held):
                 continue
-            if (cost := guess_cost(m[1])) >= min_cost:
+            if (cost := guess_cost(m[1], words)) >= min_cost:
                 found.append((start, 3, end, cost))
     return [(KINDS[k], s, e, c) for s, k, e, c in sorted(found, key=lambda x: x[:3])]
 
@@ -123,10 +187,12 @@ def scan(text: str | None, min_cost: float) -> list[tuple[str, int, int, float |
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 9.0) -> DataFrame:
     """For each row: the id and `found`, an array of (kind, start, end, cost)."""
 
+    words = df.sparkSession.sparkContext.broadcast(ranked_words(df, text_col))
+
     def rows(batches):
         for b in batches:
             for key, text in zip(b["k"], b["t"], strict=True):
-                yield key, [{"kind": k, "start": s, "end": e, "cost": c} for k, s, e, c in scan(text, min_cost)]
+                yield key, [{"kind": k, "start": s, "end": e, "cost": c} for k, s, e, c in scan(text, min_cost, words.value)]
 
     source = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     return arrow_stage(source, f"`{id_col}` long, found array<struct<kind:string,start:long,end:long,cost:double>>", rows)
@@ -141,10 +207,12 @@ def redact(df: DataFrame, min_cost: float = 9.0, mark: str = "[SECRET]") -> Data
     kind = df.schema
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
+    words = df.sparkSession.sparkContext.broadcast(ranked_words(df))
+
     def rows(batches):
         for b in batches:
             for row in zip(*b.values(), strict=True):
-                spans = scan(row[at], min_cost)
+                spans = scan(row[at], min_cost, words.value)
                 if spans:
                     row = list(row)
                     parts, done = [], 0

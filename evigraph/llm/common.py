@@ -17,9 +17,11 @@ _made: list[tuple[SparkSession, str, bool]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="evigraph-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,6 +48,25 @@ def clear_steps() -> None:
         _made.remove(x)
 
 
+def steps_so_far() -> frozenset[str]:
+    return frozenset(path for _, path, steps in _made if steps)
+
+
+def settled(df: DataFrame, label: str, before: frozenset[str]) -> DataFrame:
+    """written(df); then the tables that were made between the operator's steps since `before` (steps_so_far()) are removed."""
+    made = [x for x in _made if x[2] and x[1] not in before]
+    out = written(df, label)
+    for x in made:
+        remove(x[0], x[1])
+        _made.remove(x)
+    return out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under the names c0, c1, ... so that columns of an operator's own can't clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def _remove_all() -> None:
     for spark, path, _ in _made:
         try:
@@ -61,11 +82,23 @@ def written(df: DataFrame, label: str, steps: bool = True) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_stage(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[dict]], Iterator[tuple]], out_rows: int = 2000, out_bytes: int = 16 << 20) -> DataFrame:
-    """mapInArrow with an iterator of one dict of Python lists per batch in, and tuples out.
+#: Rows of a batch on its way to Python, where the session has no number of its own; rows that are Python objects at a time.
+BATCH_ROWS, SLICE = 1000, 250
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of Spark's 10,000 rows would hold an executor's memory. A number that the session set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def arrow_stage(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[dict]], Iterator[tuple]], out_rows: int = 2000, out_bytes: int = 4 << 20) -> DataFrame:
+    """mapInArrow with an iterator of dicts of Python lists, of SLICE rows at most, in, and tuples out.
 
     Tuples are gathered into record batches of at most out_rows rows or about out_bytes of text and binary.
     """
+    small_batches(df.sparkSession)
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
     sized = [i for i, f in enumerate(kind.fields) if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))]
@@ -73,7 +106,7 @@ def arrow_stage(df: DataFrame, schema: str | T.StructType, rows: Callable[[Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         weight = 0
-        for row in rows(b.to_pydict() for b in batches):
+        for row in rows(b.slice(k, SLICE).to_pydict() for b in batches for k in range(0, b.num_rows, SLICE)):
             held.append(row)
             weight += sum(len(row[i]) for i in sized if row[i] is not None)
             if len(held) >= out_rows or weight >= out_bytes:

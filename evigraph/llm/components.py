@@ -12,13 +12,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component): each node of a link with the smallest node reachable from it.
 
     Self links and repeated links change nothing; an empty table gives no rows. Per round a node's neighbours are
-    reduced to their minimum before the shuffle, so a node with very many links costs one row per task.
+    reduced to their minimum before the shuffle, and these minima are a table, so that Spark's join can split the partition
+    of a node with very many links.
     """
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(low.select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()

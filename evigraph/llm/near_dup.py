@@ -14,8 +14,9 @@ A pair at the threshold escapes all bands with a probability of (1 - similarity*
 sketches agree in too few coordinates with one below 3e-7. Shingles are 64-bit hashes.
 
 Rows: a null text, or one without words, is linked with nothing; a text of fewer words than a shingle counts as one
-shingle; repeated rows fall into one class; rows with one doc_id are taken as one document; other columns are ignored. A
-null id is its own component, null. An empty table gives no rows.
+shingle; texts are taken whole, whatever their length; repeated rows fall into one class; rows with one id but unlike texts are
+documents of their own with that id; the least id names a group, so there are no ties; other columns, whatever their names, are
+ignored. A row of a null id is linked with nothing, its component is null, and it is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import arrow_stage, written
+from evigraph.llm.common import arrow_stage, numbered, settled, steps_so_far, written
 from evigraph.llm.components import components
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: Classes, and their shingles, that are compared in one block; larger buckets and clusters are dealt to pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 4000, 1_500_000
 
@@ -106,15 +107,15 @@ def least_agreement(size: int, similarity: float) -> int:
 def _profiles(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for key, text in zip(b["k"], b["t"], strict=True):
+            for key, x, text in zip(b["k"], b["x"], b["t"], strict=True):
                 s = shingles(text, width)
                 if not len(s):
-                    yield key, 0, None, None, None
+                    yield key, x, 0, None, None, None
                     continue
                 coords = sketch(s, bands * rows)
-                yield key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), buckets(coords, bands, rows).tolist(), (_mix(coords) & np.uint64(255)).astype(np.uint8).tobytes()
+                yield key, x, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), buckets(coords, bands, rows).tolist(), (_mix(coords) & np.uint64(255)).astype(np.uint8).tobytes()
 
-    return arrow_stage(df, "id long, n long, digest binary, bands array<long>, coords binary", run)
+    return arrow_stage(df, "id long, x long, n long, digest binary, bands array<long>, coords binary", run)
 
 
 class _Forest:
@@ -141,13 +142,13 @@ class _Forest:
 
 def _in_blocks(members: DataFrame, group: str, blocks: str) -> DataFrame:
     """Deals the rows of large groups to all pairs of blocks (i, j); `blocks` says how many a group has."""
-    own = F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", blocks)
 
 
 def _candidates(members: DataFrame, least: int, percent: int) -> DataFrame:
-    """(bucket, i, j, rep, n, coords) -> links (a, b) that span, in each bucket, what may be similar by size and sketch.
+    """(bucket, i, j, node, n, coords) -> links (a, b) that span, in each bucket, what may be similar by size and sketch.
 
     A group's output is at most one link per member, however many of its pairs agree.
     """
@@ -165,7 +166,7 @@ def _candidates(members: DataFrame, least: int, percent: int) -> DataFrame:
         for x, y in forest.links:
             yield group[x][0], group[y][0]
 
-    return arrow_stage(members.select("bucket", "i", "j", "rep", "n", "coords"), "a long, b long", lambda batches: _by_group(batches, ("bucket", "i", "j"), ("rep", "n", "coords"), spanning))
+    return arrow_stage(members.select("bucket", "i", "j", "node", "n", "coords"), "a long, b long", lambda batches: _by_group(batches, ("bucket", "i", "j"), ("node", "n", "coords"), spanning))
 
 
 def _by_group(batches, keys: tuple, values: tuple, solve):
@@ -181,7 +182,7 @@ def _by_group(batches, keys: tuple, values: tuple, solve):
 
 
 def _links(dealt: DataFrame, width: int, percent: int) -> DataFrame:
-    """(cluster, i, j, rep, text) -> links (a, b) between similar sets that span each group's components.
+    """(cluster, i, j, node, text) -> links (a, b) between similar sets that span each group's components.
 
     The intersections of one set with all others of its group are counted at once, over lists of the sets that hold a
     shingle.
@@ -210,34 +211,67 @@ def _links(dealt: DataFrame, width: int, percent: int) -> DataFrame:
         for x, y in forest.links:
             yield group[x][0], group[y][0]
 
-    return arrow_stage(dealt.select("cluster", "i", "j", "rep", "text"), "a long, b long", lambda batches: _by_group(batches, ("cluster", "i", "j"), ("rep", "text"), spanning))
+    return arrow_stage(dealt.select("cluster", "i", "j", "node", "text"), "a long, b long", lambda batches: _by_group(batches, ("cluster", "i", "j"), ("node", "text"), spanning))
+
+
+def _classes(profiles: DataFrame) -> DataFrame:
+    """One row per shingle set: digest, n, bands, coords, rep (least id), x (of that row's text) and node, its number.
+
+    The number is the least id. Where an id has rows with unlike texts, their sets have a hash for a number instead.
+    """
+    sets = profiles.where("n > 0 and id is not null")
+    h = F.xxhash64("digest")
+    several = written(sets.groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("z")).where("a <> z").select("id"), "several")
+    one = sets.groupBy("digest").agg(F.min(F.struct("id", "x")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("coords").alias("coords"))
+    one = one.select("digest", "n", "bands", "coords", F.col("least.id").alias("rep"), F.col("least.x").alias("x"))
+    named = one.join(several, F.col("rep") == F.col("id"), "left").withColumn("node", F.when(F.col("id").isNotNull(), h).otherwise(F.col("rep")))
+    return written(named.drop("id"), "classes")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """One row per input row: id, n_shingles (size of its set), component_id (smallest id reachable) and kept."""
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = written(_profiles(texts.select(F.col("id").alias("k"), F.col("text").alias("t")), width, bands, rows), "sketches")
-    least = least_agreement(bands * rows, percent / 100)
-    classes = written(profiles.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("coords").alias("coords")), "classes")
-    placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
-    members = _in_blocks(placed.join(shared, "bucket"), "bucket", "blocks").join(classes.select("rep", "n", "coords"), "rep")
-    pairs = _candidates(members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep"), least, percent)
-    clusters = components(pairs).withColumnsRenamed({"node": "rep", "component": "cluster"}).join(classes.select("rep", "n"), "rep")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    dealt = _in_blocks(clusters.drop("n").join(sizes, "cluster"), "cluster", "blocks").join(texts.withColumnRenamed("id", "rep"), "rep")
-    found = components(_links(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep"), width, percent))
-    named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = profiles.select("id", "n", "digest").join(named, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    found = _grouped(df, id_col, text_col, width, percent, bands, rows)
+    out = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of the documents that stay, all columns as they were; of rows that repeat an id one stays, all of a null id."""
-    gone = near_duplicates(df, id_col, **params).where("not kept").select(id_col).distinct()
-    rest = df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
-    first = rest.where(F.col(id_col).isNotNull()).withColumn("__n", F.expr(f"row_number() over (partition by `{id_col}` order by `{id_col}`)")).where("__n = 1").drop("__n")
-    return first.unionByName(rest.where(F.col(id_col).isNull()))
+def _grouped(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+    """One row per input row: id, x (hash of the text), n, grp (a number of the group; null without words) and component."""
+    before = steps_so_far()
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("x", F.xxhash64("text"))
+    profiles = written(_profiles(texts.select(F.col("id").alias("k"), "x", F.col("text").alias("t")), width, bands, rows), "sketches")
+    least = least_agreement(bands * rows, percent / 100)
+    classes = _classes(profiles)
+    placed = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = written(placed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m"), "shared")
+    members = _in_blocks(placed.join(shared, "bucket"), "bucket", "blocks").join(classes.select("node", "n", "coords"), "node")
+    pairs = _candidates(members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node"), least, percent)
+    clusters = components(pairs).withColumnRenamed("component", "cluster").join(classes.select("node", "rep", "x", "n"), "node")
+    sizes = written(clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")), "sizes")
+    dealt = _in_blocks(clusters.drop("n").join(sizes, "cluster"), "cluster", "blocks").join(texts.withColumnRenamed("id", "rep"), ["rep", "x"])
+    found = written(components(_links(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node"), width, percent)).withColumnRenamed("component", "grp"), "groups")
+    ids = classes.select("digest", "node", "rep")
+    smallest = found.join(ids, "node").groupBy("grp").agg(F.min("rep").alias("component"))
+    named = ids.join(found, "node", "left").join(smallest, "grp", "left").select("digest", F.coalesce("grp", "node").alias("grp"), F.coalesce("component", "rep").alias("component"))
+    known = F.col("id").isNotNull()
+    out = profiles.select("id", "x", "n", "digest").join(written(named, "named"), "digest", "left").select("id", "x", "n", F.when(known, F.col("grp")).alias("grp"), F.when(known, F.coalesce("component", "id")).alias("component"))
+    return settled(out, "near", before)
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of the documents that stay, all columns as they were.
+
+    A row goes if the least id of its group isn't its own; of a group's rows with that id one stays, and one of the rows that
+    repeat an id and a text without words. Rows with one id but unlike texts are judged each by its own text. Rows of a null id
+    all stay.
+    """
+    own = numbered(df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))))
+    *columns, key, x = own.columns
+    verdicts = _grouped(df, id_col, text_col, **params).where("id = component").select("id", "x", "grp").distinct()
+    rest = own.join(verdicts, (F.col(key) == F.col("id")) & (F.col(x) == F.col("x")))
+    rank = F.row_number().over(Window.partitionBy("id", F.coalesce("grp", "x"), F.col("grp").isNull()).orderBy("x"))
+    first = rest.withColumn("n", rank).where("n = 1")
+    return first.select(*columns).unionByName(own.where(F.col(key).isNull()).select(*columns)).toDF(*df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,19 +13,20 @@ and each round passes over all that was inserted before. So the documents are fi
    common prefixes are built column by column from the right: each round inserts one symbol of every context, a stable
    sort by that symbol updates the order (its permuted symbols are the column's part of the transform), and range minima
    update the common prefixes. Because equal windows are aligned, only suffixes of one column need comparing. A window
-   whose suffix shares `length` bytes with a neighbour is a repeat. Columns are read one after the other, from a
-   file if a batch is large.
+   whose suffix shares `length` bytes with a neighbour is a repeat. Contexts reach a task from the shuffle's sorted files in
+   sequence; a batch's columns, below 2 * length bytes for each of its contexts, are the only ones in memory.
 4. Anchors of more than `hot` distinct contexts would fill one task. Their windows are counted one by one, by 128-bit
    hashes, in an aggregation that any number of tasks share.
 
-Rows: a null or empty text has nothing to remove; texts shorter than `length` neither; repeated rows are repeats of each
-other; matches never cross documents; an empty table gives no rows; other columns are ignored.
+Rows: a null or empty text has nothing to remove; texts shorter than `length` neither; repeated rows, those of a null id too,
+are repeats of each other; of ties no order matters, since all copies go; matches never cross documents; texts are taken whole,
+whatever their length; an empty table gives no rows; other columns, whatever their names, are ignored, or kept as they were by
+without_repeats() and without_passages().
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigraph.llm.common import arrow_stage, written
+from evigraph.llm.common import arrow_stage, numbered, settled, steps_so_far, written
 from evigraph.llm.near_dup import _mix
 
 GRAM = 32
-#: Contexts in one batch, but for a larger anchor group; columns beyond SPOOL bytes are kept in a file.
-BATCH, SPOOL = 20_000, 64 << 20
+#: Contexts in one batch; the last anchor group of a batch comes on top, with `hot` contexts at most.
+BATCH = 20_000
+#: Tasks that the windows of one text are dealt to where they are counted one by one.
+SALTS = 64
 #: Bytes that stand for a word where passages are measured in words; different words share them with a probability of 2^-32.
 CODE = 4
 #: Scripts without spaces, of which each character is a word, and what is not of any word: spaces and punctuation.
@@ -83,34 +86,30 @@ def _bytes(text: str | bytes | None) -> bytes:
 
 
 class _Codes(dict):
-    """The bytes of each word; a store for speed, emptied when full."""
+    """The bytes that stand for the words of each piece between white space; a store for speed, emptied when full."""
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= 200_000:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= 100_000:
             self.clear()
-        code = self[word] = xxhash.xxh32_digest(word.encode("utf-8", "surrogatepass"))
+        code = self[piece] = b"".join([xxhash.xxh32_digest(w.encode("utf-8", "surrogatepass")) for w in WORD.findall(piece)])
         return code
 
 
-def _coded(texts: DataFrame) -> DataFrame:
-    """id, x and, as text, the codes of the text's words one after the other."""
+_codes = _Codes()
 
-    def run(batches):
-        codes = _Codes()
-        for b in batches:
-            for key, x, text in zip(b["id"], b["x"], b["text"], strict=True):
-                yield key, x, b"".join([codes[w] for w in WORD.findall(text or "")])
 
-    return arrow_stage(texts.select("id", "x", "text"), "id long, x long, text binary", run)
+def _word_codes(text: str | None) -> bytes:
+    """The codes of the text's words one after the other."""
+    return b"".join(map(_codes.__getitem__, text.split())) if text else b""
 
 
-def _occurrences(texts: DataFrame, length: int) -> DataFrame:
+def _occurrences(texts: DataFrame, length: int, data_of: Callable) -> DataFrame:
     """One row per document and distinct context: h, c, starts (of the first window, ascending), off (anchor - start), w (windows - 1)."""
 
     def run(batches):
         for b in batches:
             for key, x, text in zip(b["id"], b["x"], b["text"], strict=True):
-                data = _bytes(text)
+                data = data_of(text)
                 if len(data) < length:
                     continue
                 hs, pos, first, last = anchors(np.frombuffer(data, np.uint8), length)
@@ -135,11 +134,9 @@ def repeated_windows(contexts: list[bytes], offs: list[int], groups: list[int],
     sizes = np.array([len(c) for c in contexts])
     off = np.array(offs)
     left, right = int(-off.max()), int((sizes - off).max())
-    shape = (right - left, m)
-    spool = tempfile.TemporaryFile() if shape[0] * m > SPOOL else None
-    columns = np.memmap(spool, np.uint8, "w+", shape=shape) if spool else np.zeros(shape, np.uint8)
+    columns = np.zeros((right - left, m), np.uint8)
     for k in range(0, m, 256):
-        block = np.zeros((min(256, m - k), shape[0]), np.uint8)
+        block = np.zeros((min(256, m - k), right - left), np.uint8)
         for i, c in enumerate(contexts[k : k + 256]):
             at = -left - offs[k + i]
             block[i, at : at + len(c)] = np.frombuffer(c, np.uint8)
@@ -178,9 +175,6 @@ def repeated_windows(contexts: list[bytes], offs: list[int], groups: list[int],
                 open_at[i] = col + offs[i]
     for i in np.flatnonzero(open_at >= 0).tolist():
         runs[i].append((left + offs[i], int(open_at[i])))
-    if spool:
-        del columns
-        spool.close()
     return runs
 
 
@@ -191,11 +185,11 @@ def _cut(reps: DataFrame, texts: DataFrame) -> DataFrame:
     return both
 
 
-def _group_runs(cut: DataFrame, length: int) -> DataFrame:
+def _group_runs(cut: DataFrame, length: int, data_of: Callable) -> DataFrame:
     def pieces(batches):
         for b in batches:
             for want, text in zip(b["want"], b["text"], strict=True):
-                data = _bytes(text)
+                data = data_of(text)
                 for o in want:
                     if not o["hot"]:
                         yield o["h"], o["c"], o["off"], data[o["start"] : o["start"] + o["w"] + length]
@@ -221,11 +215,11 @@ def _group_runs(cut: DataFrame, length: int) -> DataFrame:
     return arrow_stage(parts, "h long, c long, runs array<struct<a:int,b:int>>", solve)
 
 
-def _hot_runs(cut: DataFrame, length: int) -> DataFrame:
+def _hot_runs(cut: DataFrame, length: int, data_of: Callable) -> DataFrame:
     def windows(batches):
         for b in batches:
             for want, text in zip(b["want"], b["text"], strict=True):
-                data = _bytes(text)
+                data = data_of(text)
                 for o in want:
                     if o["hot"]:
                         for k in range(o["w"] + 1):
@@ -233,27 +227,31 @@ def _hot_runs(cut: DataFrame, length: int) -> DataFrame:
                             yield o["h"], o["c"], k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
     one = arrow_stage(cut, "h long, c long, k int, p long, q long", windows)
-    many = one.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 1").select("p", "q")
-    return one.join(many, ["p", "q"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).alias("runs"))
+    many = one.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 1").select("p", "q", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return one.withColumn("salt", F.pmod(F.xxhash64("c", "k"), F.lit(SALTS)).cast("int")).join(many, ["p", "q", "salt"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).alias("runs"))
+
 
+def _covers(texts: DataFrame, length: int, hot: int, data_of: Callable[[str | None], bytes] = _bytes) -> DataFrame:
+    """(sid, sx, cover) of the documents with something to remove; cover: array of (a, b) ranges of data_of(text), in no order.
 
-def _covers(texts: DataFrame, length: int, hot: int) -> DataFrame:
-    """(sid, sx, cover) of the documents with something to remove; cover: array of (a, b) byte ranges, in no order."""
-    found = written(_occurrences(texts.select("id", "x", "text"), length), "anchors")
-    shared = found.groupBy("h").agg(F.sum(F.size("starts")).alias("total")).where("total > 1").select("h")
+    Sides of joins on an anchor are tables, so that Spark can split the partition of a frequent one.
+    """
+    before = steps_so_far()
+    found = written(_occurrences(texts.select("id", "x", "text"), length, data_of), "anchors")
+    shared = written(found.groupBy("h").agg(F.sum(F.size("starts")).alias("total")).where("total > 1").select("h"), "shared")
     one = F.struct("id", "x", F.element_at("starts", 1).alias("start"))
     contexts = written(found.join(shared, "h").groupBy("h", "c", "off", "w").agg(F.sum(F.size("starts")).alias("total"), F.min(one).alias("rep")), "contexts")
-    several = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", (F.col("m") > hot).alias("hot"))
+    several = written(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", (F.col("m") > hot).alias("hot")), "several")
     cut = _cut(contexts.join(several, "h").select("h", "c", "off", "w", "rep.*", "hot"), texts)
-    runs = _group_runs(cut, length)
+    runs = _group_runs(cut, length, data_of)
     if several.where("hot").take(1):
-        runs = runs.unionByName(_hot_runs(cut, length))
+        runs = runs.unionByName(_hot_runs(cut, length, data_of))
     whole = contexts.where("total > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("w").alias("b"))).alias("runs"))
     single = contexts.where("total = 1").select("h", "c")
     flags = written(whole.unionByName(runs.join(single, ["h", "c"], "left_semi")), "flags")
     starts = found.join(flags, ["h", "c"]).select("id", "x", F.explode("starts").alias("s"), "runs")
     ranges = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
-    return starts.groupBy(F.col("id").alias("sid"), F.col("x").alias("sx")).agg(F.flatten(F.collect_list(ranges)).alias("cover"))
+    return settled(starts.groupBy(F.col("id").alias("sid"), F.col("x").alias("sx")).agg(F.flatten(F.collect_list(ranges)).alias("cover")), "covers", before)
 
 
 def _spans(cover: list[dict] | None) -> list[dict]:
@@ -275,18 +273,23 @@ def _without(data: bytes, spans: list[dict]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 20_000) -> DataFrame:
-    """One row per input row: id, n_bytes, spans (array of (start, end) of the maximal removed runs, in bytes) and kept (binary)."""
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int = 51, hot: int = 20_000) -> DataFrame:
+    """One row per input row: id, n_bytes, spans (array of (start, end) of the maximal removed runs, in bytes), kept (binary) and
+    passages, an array of (start, end) of the maximal runs, in words, of what repeats for `words` words or more."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("x", F.xxhash64("text"))
-    joined = texts.join(_covers(texts, length, hot), F.col("id").eqNullSafe(F.col("sid")) & (F.col("x") == F.col("sx")), "left").select("id", "text", "cover")
+    joined = texts
+    for name, covers in (("cover", _covers(texts, length, hot)), ("passages", _covers(texts, words * CODE, hot, _word_codes))):
+        covers = covers.withColumnRenamed("cover", name)
+        joined = joined.join(covers, F.col("id").eqNullSafe(F.col("sid")) & (F.col("x") == F.col("sx")), "left").drop("sid", "sx")
 
     def remove(batches):
         for b in batches:
-            for key, text, cover in zip(b["id"], b["text"], b["cover"], strict=True):
+            for key, text, cover, passages in zip(b["id"], b["text"], b["cover"], b["passages"], strict=True):
                 data, spans = _bytes(text), _spans(cover)
-                yield key, len(data), spans, _without(data, spans)
+                yield key, len(data), spans, _without(data, spans), [{"start": s, "end": e} for s, e in _word_spans(passages, words)]
 
-    return arrow_stage(joined, f"`{id_col}` long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", remove)
+    span = "array<struct<start:long,end:long>>"
+    return arrow_stage(joined.select("id", "text", "cover", "passages"), f"`{id_col}` long, n_bytes long, spans {span}, kept binary, passages {span}", remove)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 20_000) -> DataFrame:
@@ -296,19 +299,21 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     keys = (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
     texts = df.select(keys[0].alias("id"), F.col(text_col).cast("string").alias("text"), keys[1].alias("x"))
-    return _taken_out(df, keys, _covers(texts, length, hot), text_col, lambda text, spans: _without(_bytes(text), spans).decode("utf-8", "ignore"))
+    return _taken_out(df, keys, _covers(texts, length, hot), text_col, lambda text, cover: _without(_bytes(text), _spans(cover)).decode("utf-8", "ignore"))
 
 
 def _taken_out(df: DataFrame, keys: tuple, covers: DataFrame, text_col: str, without: Callable[[str, list[dict]], str]) -> DataFrame:
     names = df.columns
     at, size = names.index(text_col), names.index("n_chars") if "n_chars" in names else -1
-    joined = df.withColumns({"__id": keys[0], "__x": keys[1]}).join(covers, F.col("__id").eqNullSafe(F.col("sid")) & (F.col("__x") == F.col("sx")), "left").select(*[F.col(f"`{c}`") for c in names], F.col("cover").alias("__cover"))
+    own = numbered(df.select(*[F.col(f"`{c}`") for c in names], *keys))
+    key, x = own.columns[-2:]
+    joined = own.join(covers, F.col(key).eqNullSafe(F.col("sid")) & (F.col(x) == F.col("sx")), "left").select(*own.columns[:-2], "cover")
 
     def remove(batches):
         for b in batches:
             for *row, cover in zip(*b.values(), strict=True):
                 if cover:
-                    row[at] = without(row[at], _spans(cover))
+                    row[at] = without(row[at], cover)
                     if size >= 0:
                         row[size] = len(row[at])
                 yield tuple(row)
@@ -316,12 +321,17 @@ def _taken_out(df: DataFrame, keys: tuple, covers: DataFrame, text_col: str, wit
     return arrow_stage(joined, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]), remove)
 
 
-def _without_words(text: str, spans: list[dict]) -> str:
-    """The text without the words of the code ranges, and without what separates each range from the word after it."""
+def _word_spans(cover: list[dict] | None, words: int) -> list[tuple[int, int]]:
+    """(first, after the last) of the words that lie wholly in each run of the code ranges, where these are `words` or more."""
+    runs = ((-(-s["start"] // CODE), s["end"] // CODE) for s in _spans(cover))
+    return [(first, after) for first, after in runs if after - first >= words]
+
+
+def _without_words(text: str, runs: list[tuple[int, int]]) -> str:
+    """The text without the words of the runs, and without what separates each run from the word after it."""
     at = [m.span() for m in WORD.finditer(text)]
     kept, done = [], 0
-    for s in spans:
-        first, after = s["start"] // CODE, -(-s["end"] // CODE)
+    for first, after in runs:
         kept.append(text[done : at[first][0]])
         done = at[after][0] if after < len(at) else at[after - 1][1]
     return "".join([*kept, text[done:]])
@@ -336,9 +346,10 @@ def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keys = (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
     texts = df.select(keys[0].alias("id"), F.col(text_col).cast("string").alias("text"), keys[1].alias("x"))
-    return _taken_out(df, keys, _covers(_coded(texts), words * CODE, hot), text_col, _without_words)
+    return _taken_out(df, keys, _covers(texts, words * CODE, hot, _word_codes), text_col, lambda text, cover: _without_words(text, _word_spans(cover, words)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    in_passages = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), in_passages.alias("n_passage_words"))

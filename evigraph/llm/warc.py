@@ -6,15 +6,19 @@ all responses.
 
 Index: capture lines are sorted by reversed-host URL key (then page id) over all tasks, compressed in blocks of
 `block_lines` lines, and each index file has a sparse directory with the first key of each block. The driver holds one
-line per index file: its first key and its place. A lookup bisects the files, then the directory, range-reads and unpacks
-one block (more if a key runs on), bisects its lines and range-reads the records.
+line per index file: its first key and its place. A lookup bisects the files, then the directories, which tells the blocks that
+a key may stand in; these are dealt to tasks, which range-read and unpack each block once, bisect its lines and range-read the
+records. A key of very many captures has many blocks, so many tasks share it. Sizes and digests come from the bytes read. A
+revisit names its response's URL too, and its payload is read through the index.
 
 Files go to the shared folder through pyarrow's file systems, so any store that those know will do. A task writes under a
 name of its own attempt and the table of captures is committed by Spark, so lost executors and repeated tasks leave at
 most files that nothing refers to.
 
-Rows: a null html is an empty payload; a null URL is an empty one; repeated rows give a record each (rows with the same
-largest id are responses alike); an empty table gives no rows; other columns are ignored.
+Rows: a null html is an empty payload; a null URL is an empty one; a page of a null id is written, and a revisit where its payload
+stands under an id too; repeated rows give a record each (rows with the same largest id are responses alike); of responses that
+share id and URL a revisit reads any, since their payloads are equal; payloads are kept whole, whatever their size; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import arrow_stage, new_folder, written
 
+#: Bytes of payloads that a task holds for the revisits to come; emptied when exceeded.
+KEPT_BYTES = 16 << 20
 CAPTURES = "key string, page_id long, archive string, offset long, length long"
 
 
@@ -68,20 +74,19 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
     return _opened(uri).read_at(length, offset)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """A WARC 1.1 record. A revisit has no payload; its size and digest are in the header."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, refers_to_url: str | None = None) -> bytes:
+    """A WARC 1.1 record. A revisit has no payload, but the id and URL of the response that has it."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {json.dumps(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
     ]
     body = payload
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {json.dumps(refers_to_url or '')}"]
         body = b""
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -98,13 +103,13 @@ def parse_record(data: bytes) -> dict:
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("the record is cut off")
     page = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
-    return {"page_id": page(got["WARC-Record-ID"]), "url": json.loads(got["WARC-Target-URI"]), "type": got["WARC-Type"], "digest": got["WARC-Payload-Digest"].removeprefix("sha1:"), "bytes": int(got["X-Payload-Length"]), "refers_to": page(got.get("WARC-Refers-To")), "payload": rest[:size]}
+    return {"page_id": page(got["WARC-Record-ID"]), "url": json.loads(got["WARC-Target-URI"]), "type": got["WARC-Type"], "digest": got["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": page(got.get("WARC-Refers-To")), "refers_to_url": json.loads(got.get("WARC-Refers-To-Target-URI", "null")), "payload": rest[:size]}
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> DataFrame:
     """Writes the archives; returns their captures as a table."""
     one = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    last = one.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    last = one.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("last.page_id").alias("last"), F.col("last.url").alias("last_url"))
     told = one.join(last, "digest", "left").withColumn("refers_to", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
 
     def rows(batches):
@@ -114,23 +119,25 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
         at = 0
         with system.open_output_stream(_store(uri)[1], compression=None) as out:
             for b in batches:
-                for page, url, payload, digest, refers_to in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True):
-                    data = gzip.compress(record(page, url, bytes(payload), digest, "response" if refers_to is None else "revisit", refers_to), 3, mtime=0)
+                for page, url, payload, digest, refers_to, last_url in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers_to"], b["last_url"], strict=True):
+                    data = gzip.compress(record(page, url, bytes(payload), digest, "response" if refers_to is None else "revisit", refers_to, last_url), 3, mtime=0)
                     out.write(data)
                     yield url_key(url), page, uri, at, len(data)
                     at += len(data)
 
-    return written(arrow_stage(told.select("page_id", "url", "payload", "digest", "refers_to"), CAPTURES, rows), "captures")
+    return written(arrow_stage(told.select("page_id", "url", "payload", "digest", "refers_to", "last_url"), CAPTURES, rows), "captures")
 
 
 class CaptureIndex:
-    """files: (first key, index file, directory file, captures) in key order."""
+    """files: (first key, index file, directory file, captures, bytes of their records) in key order."""
 
-    def __init__(self, files: list[tuple[str, str, str, int]]):
+    def __init__(self, files: list[tuple[str, str, str, int, int]]):
         self.files = files
         self.firsts = [f[0] for f in files]
         self._directory: dict[int, list] = {}
-        self._block: tuple[tuple[int, int], list] | None = None
+        self._block: dict[tuple[int, int], list] = {}
+        self._payload: dict[tuple[str, int], bytes] = {}
+        self._held = 0
 
     def directory(self, n: int) -> list:
         """[first key, offset, length] of the blocks of an index file."""
@@ -144,37 +151,73 @@ class CaptureIndex:
 
     def block(self, n: int, k: int) -> list:
         """[key, page id, archive, offset, length] of the captures of one block."""
-        if self._block is None or self._block[0] != (n, k):
+        if (n, k) not in self._block:
+            if len(self._block) >= 8:
+                self._block.clear()
             _, offset, length = self.directory(n)[k]
-            self._block = (n, k), [json.loads(x) for x in zlib.decompress(read_range(self.files[n][1], offset, length)).decode().splitlines()]
-        return self._block[1]
+            self._block[n, k] = [json.loads(x) for x in zlib.decompress(read_range(self.files[n][1], offset, length)).decode().splitlines()]
+        return self._block[n, k]
 
-    def find(self, key: str):
-        """The captures of a URL key, by binary search; they may run on over blocks and files."""
-        n = max(0, bisect.bisect_left(self.firsts, key) - 1)
+    def blocks(self, key: str):
+        """(file, block) of the blocks that captures of a URL key may stand in, by binary search in the directories alone."""
         if not self.files:
             return
+        n = max(0, bisect.bisect_left(self.firsts, key) - 1)
         k = max(0, bisect.bisect_left(self.directory(n), [key]) - 1)
-        while n < len(self.files):
-            while k < len(self.directory(n)):
-                if self.directory(n)[k][0] > key:
-                    return
-                lines = self.block(n, k)
-                for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) :]:
-                    if line[0] != key:
-                        return
-                    yield line
+        while n < len(self.files) and (k or self.firsts[n] <= key):
+            firsts = self.directory(n)
+            while k < len(firsts) and firsts[k][0] <= key:
+                yield n, k
                 k += 1
+            if k < len(firsts):
+                return
             n, k = n + 1, 0
 
-    def find_page(self, key: str, page_id: int | None):
-        return (line for line in self.find(key) if line[1] == page_id)
+    def lines(self, n: int, k: int, key: str) -> list:
+        """The captures of a URL key in one block, by binary search; they are sorted by page id, null first."""
+        lines = self.block(n, k)
+        at = bisect.bisect_left(lines, key, key=lambda x: x[0])
+        return lines[at : bisect.bisect_right(lines, key, lo=at, key=lambda x: x[0])]
+
+    def find(self, key: str):
+        """The captures of a URL key; they may run on over blocks and files."""
+        for n, k in self.blocks(key):
+            yield from self.lines(n, k, key)
 
     @staticmethod
     def fetch(line: list) -> dict:
         """The record of a capture, by a range read."""
         return parse_record(gzip.decompress(read_range(line[2], line[3], line[4])))
 
+    def payload(self, got: dict) -> bytes:
+        """The payload of a record; that of a revisit is read from the response which it names. ValueError if its digest is another."""
+        if got["type"] == "response":
+            payload = got["payload"]
+        else:
+            at = url_key(got["refers_to_url"]), got["refers_to"]
+            if at not in self._payload:
+                if self._held > KEPT_BYTES:
+                    self._payload.clear()
+                    self._held = 0
+                found = self._payload[at] = next(r["payload"] for line in self._page(*at) if (r := self.fetch(line))["type"] == "response" and r["digest"] == got["digest"])
+                self._held += len(found)
+            payload = self._payload[at]
+        if hashlib.sha1(payload).hexdigest() != got["digest"]:
+            raise ValueError(f"the payload of page {got['page_id']} is not what was written")
+        return payload
+
+    def _page(self, key: str, page_id: int):
+        """The captures of one page under a URL key, by binary search over the key's blocks and in them."""
+        places = list(self.blocks(key))
+        last = lambda place: lines[-1][1] if (lines := self.lines(*place, key)) and lines[-1][1] is not None else -(1 << 64)
+        for place in places[bisect.bisect_left(places, page_id, key=last) :]:
+            lines = self.lines(*place, key)
+            known = lines[sum(x[1] is None for x in lines) :]
+            for line in known[bisect.bisect_left(known, page_id, key=lambda x: x[1]) :]:
+                if line[1] != page_id:
+                    return
+                yield line
+
 
 def build_index(captures: DataFrame, folder: str, files: int | None = None, block_lines: int = 512) -> CaptureIndex:
     spark = captures.sparkSession
@@ -185,7 +228,7 @@ def build_index(captures: DataFrame, folder: str, files: int | None = None, bloc
         system, root = _store(folder)
         system.create_dir(root, recursive=True)
         name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        first, lines, directory, at, total = None, [], [], 0, 0
+        first, lines, directory, at, total, size = None, [], [], 0, 0, 0
         with system.open_output_stream(_store(name + ".cdx.z")[1], compression=None) as out:
 
             def flush():
@@ -200,6 +243,7 @@ def build_index(captures: DataFrame, folder: str, files: int | None = None, bloc
                 for line in zip(b["key"], b["page_id"], b["archive"], b["offset"], b["length"], strict=True):
                     first = line[0] if first is None else first
                     lines.append(line)
+                    size += line[4]
                     if len(lines) >= block_lines:
                         flush()
             if lines:
@@ -207,26 +251,39 @@ def build_index(captures: DataFrame, folder: str, files: int | None = None, bloc
         if total:
             with system.open_output_stream(_store(name + ".idx")[1], compression=None) as out:
                 out.write("\n".join(directory).encode())
-            yield TaskContext.get().partitionId(), first, name + ".cdx.z", name + ".idx", total
+            yield TaskContext.get().partitionId(), first, name + ".cdx.z", name + ".idx", total, size
+
+    made = written(arrow_stage(ordered, "part int, first string, blocks string, directory string, n long, size long", rows), "index")
+    return CaptureIndex([(r["first"], r["blocks"], r["directory"], r["n"], r["size"]) for r in made.orderBy("part").collect()])
 
-    made = written(arrow_stage(ordered, "part int, first string, blocks string, directory string, n long", rows), "index")
-    return CaptureIndex([(r["first"], r["blocks"], r["directory"], r["n"]) for r in made.orderBy("part").collect()])
 
+def lookup(requests: DataFrame, index: CaptureIndex, key_col: str = "key", payloads: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
+    """The records of all captures of the requested URL keys, with their payloads if these are wanted.
 
-def lookup(requests: DataFrame, index: CaptureIndex, key_col: str = "key") -> DataFrame:
-    """The records of all captures of the requested URL keys. Sorted requests read each block once."""
+    Tasks are as many as the records of the whole index hold task_bytes, at least spark.sql.shuffle.partitions.
+    """
     files = index.files
 
-    def rows(batches):
+    def places(batches):
         own = CaptureIndex(files)
         for b in batches:
             for key in b["k"]:
-                for line in own.find(key):
+                for n, k in own.blocks(key):
+                    yield n, k, key
+
+    def rows(batches):
+        own = CaptureIndex(files)
+        for b in batches:
+            for n, k, key in zip(b["n"], b["b"], b["key"], strict=True):
+                for line in own.lines(n, k, key):
                     got = own.fetch(line)
-                    yield key, got["page_id"], got["url"], got["bytes"], got["digest"], got["type"], got["refers_to"], got["payload"]
+                    payload = own.payload(got)
+                    yield key, got["page_id"], got["url"], len(payload), hashlib.sha1(payload).hexdigest(), got["type"], got["refers_to"], payload if payloads else None
 
-    ordered = requests.select(F.col(key_col).alias("k")).distinct().repartitionByRange("k").sortWithinPartitions("k")
-    return arrow_stage(ordered, "key string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary", rows)
+    tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(f[4] for f in files) // task_bytes)
+    wanted = requests.select(F.col(key_col).alias("k")).distinct().sortWithinPartitions("k")
+    dealt = arrow_stage(wanted, "n int, b int, key string", places).repartition(tasks, "n", "b").sortWithinPartitions("n", "b", "key")
+    return arrow_stage(dealt, "key string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary", rows)
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, least_bytes: int = 1000) -> tuple[DataFrame, CaptureIndex]:
@@ -239,7 +296,7 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, le
 def query(spark, sf_dir: str) -> DataFrame:
     captures, index = archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
-    return lookup(captures, index).drop("payload", "key", "url").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return lookup(captures, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

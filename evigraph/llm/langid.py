@@ -2,19 +2,24 @@
 
 A text becomes a vector of hashed letter n-grams (1 to 3, over lower-cased letters with all else as one gap), weighted by
 1 + log(count) and inverse document frequency, of length 1. Each language has several centroids, found by spherical
-k-means. The nearest centroid by cosine gives the language; a text that is farther than `most_distance` (1 - cosine) from
-all centroids is rejected. Texts of a few words in a learned language lie within 0.85; noise and other scripts beyond 0.9.
+k-means. The nearest centroid by cosine gives the language; a text that is farther (1 - cosine) from all centroids than the limit
+for texts of its length is rejected. Short texts lie far from any centroid, long ones of a learned language don't, so limits
+are learned for lengths by powers of two: MARGIN above the distance that all but OUTLIERS of the texts of that length or longer
+keep within, and MOST_DISTANCE at most. They are measured on the learning rows, whole and in one fragment of each length.
 
-Learning uses at most `per_language` labelled rows of each language, those with the least hashes of their id; frequencies
-and centroids come from these rows. Prediction takes every whole text of all rows.
+Learning uses at most `per_language` labelled rows of each language, those with the least hashes of their id; frequencies,
+centroids and limits come from these rows. Prediction takes every whole text of all rows.
 
 Rows: a null text, or one without letters, is `und` with score 0, and rejected; with nothing to learn from all are `und`;
-repeated rows give repeated results; ties go to the language that sorts first; other columns are ignored.
+repeated rows give repeated results, and those of a null id too; ties go to the language that sorts first; texts are taken whole,
+whatever their length; an empty table gives no rows; other columns, whatever their names, are ignored, or kept by keep_known().
 """
 
 from __future__ import annotations
 
+import math
 import pickle
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +33,12 @@ DIMS = 1 << 13
 UND = "und"
 #: Languages that one model may have: bounds what the driver and each worker hold (3 vectors of 32 KB each).
 MOST_LANGUAGES = 2000
-#: Farthest that a text may be from its nearest centroid.
+#: Farthest that a text of any length may be from its nearest centroid.
 MOST_DISTANCE = 0.88
+#: Share of the learning texts that may lie beyond the limit less MARGIN; fewest texts that a limit rests on.
+OUTLIERS, MARGIN, FEWEST = 0.01, 0.18, 100
+#: Classes of length: bits of the number of a text's n-grams.
+CLASSES = 64
 
 
 @lru_cache(maxsize=1)
@@ -96,9 +105,9 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
             for lang, h, text in zip(b["lang"], b["h"], b["text"], strict=True):
                 dims, n = grams(text)
                 if len(dims):
-                    yield lang, h, dims.astype("<i4").tobytes(), n.astype("<i4").tobytes()
+                    yield lang, h, dims.astype("<i4").tobytes(), n.astype("<i4").tobytes(), text
 
-    vectors = arrow_stage(sample, "lang string, h long, dims binary, n binary", to_grams)
+    vectors = arrow_stage(sample, "lang string, h long, dims binary, n binary, text string", to_grams)
     chosen = written(vectors.withColumn("r", F.expr("row_number() over (partition by lang order by h, dims, n)")).where(F.col("r") <= per_language).drop("r"), "langid")
 
     def frequencies(batches):
@@ -125,22 +134,61 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
         c = _clusters(x, centroids, 8)
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "model": [pickle.dumps(c.astype("<f4"))]})
 
-    found = sorted((r["lang"], r["model"]) for r in chosen.groupBy("lang").applyInPandas(cluster, "lang string, model binary").collect())
+    found = sorted((r["lang"], r["model"]) for r in chosen.drop("text").groupBy("lang").applyInPandas(cluster, "lang string, model binary").collect())
     parts = [pickle.loads(m) for _, m in found]
-    return {"langs": [lang for lang, _ in found], "idf": idf, "of": np.repeat(np.arange(len(parts)), [len(c) for c in parts]), "centroids": np.concatenate(parts).T.copy()}
+    model = {"langs": [lang for lang, _ in found], "idf": idf, "of": np.repeat(np.arange(len(parts)), [len(c) for c in parts]), "centroids": np.concatenate(parts).T.copy(), "limits": np.full(CLASSES, 1.0)}
+    return model | {"limits": _limits(chosen, model)}
 
 
-def predict_text(model: dict, text: str | None, most_distance: float) -> tuple[str, float, bool]:
-    """(language, cosine from 0 to 1, rejected)."""
-    if not model["langs"]:
-        return UND, 0.0, True
-    dims, counts = grams(text)
+def _limits(chosen: DataFrame, model: dict) -> np.ndarray:
+    """The greatest distance that isn't rejected, by class of length."""
+    shared = chosen.sparkSession.sparkContext.broadcast(model)
+
+    def distances(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for h, text in zip(b["h"], b["text"], strict=True):
+                size, parts = 8, [text]
+                while size < len(text):
+                    start = h % (len(text) - size)
+                    parts.append(text[start : start + size])
+                    size *= 2
+                for part in parts:
+                    _, score, length = _nearest(shared.value, part)
+                    if length:
+                        seen[length, math.ceil((1 - score) * 1000)] += 1
+        yield from ((length, d, n) for (length, d), n in seen.items())
+
+    counts = np.zeros((CLASSES, 1001), np.int64)
+    for r in arrow_stage(chosen.select("h", "text"), "length int, d int, n long", distances).groupBy("length", "d").agg(F.sum("n").alias("n")).collect():
+        counts[r["length"], r["d"]] = r["n"]
+    limits = np.full(CLASSES, MOST_DISTANCE)
+    longest, held, farthest = CLASSES, np.zeros(1001, np.int64), 0.0
+    for length in range(CLASSES - 1, 0, -1):  # lengths with few texts share the limit of the next shorter ones
+        held = held + counts[length]
+        if held.sum() >= FEWEST:
+            farthest = max(farthest, float(np.searchsorted(np.cumsum(held), (1 - OUTLIERS) * held.sum()) / 1000))
+            limits[length:longest] = min(MOST_DISTANCE, farthest + MARGIN)
+            longest, held = length, np.zeros(1001, np.int64)
+    return limits
+
+
+def _nearest(model: dict, text: str | None) -> tuple[int, float, int]:
+    """(language's number, cosine from 0 to 1, class of length); length 0 without letters or languages."""
+    dims, counts = grams(text) if model["langs"] else (np.empty(0), None)
     if not len(dims):
-        return UND, 0.0, True
+        return 0, 0.0, 0
     near = weights(counts, model["idf"][dims]).astype(np.float32) @ model["centroids"][dims]
     best = int(near.argmax())
-    lang, score = int(model["of"][best]), float(min(1.0, max(0.0, near[best])))
-    return model["langs"][lang], score, 1 - score > most_distance
+    return int(model["of"][best]), float(min(1.0, max(0.0, near[best]))), int(counts.sum()).bit_length()
+
+
+def predict_text(model: dict, text: str | None, most_distance: float = MOST_DISTANCE) -> tuple[str, float, bool]:
+    """(language, cosine from 0 to 1, rejected)."""
+    lang, score, length = _nearest(model, text)
+    if not length:
+        return UND, 0.0, True
+    return model["langs"][lang], score, 1 - score > min(most_distance, model["limits"][length])
 
 
 def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", most_distance: float = MOST_DISTANCE) -> DataFrame:

@@ -4,8 +4,9 @@ Method: each pre-token is a doubly linked list of symbols; a priority queue hold
 pairs. The lowest rank, leftmost first, is popped; an entry whose pair has changed since is stale and skipped. Decoding
 joins the vocabulary's strings.
 
-Rows: a null text counts as empty and gives no ids and an empty decoding; repeated rows give repeated results; texts are
-taken whole, whatever their length; other columns are ignored.
+Rows: a null text counts as empty and gives no ids and an empty decoding; a null id stays null; repeated rows give repeated
+results; of pairs of one rank the leftmost merges first; texts are taken whole, whatever their length; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, pre_tokenizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from evigraph.llm.common import arrow_stage
 
 #: Words whose ids a worker keeps; beyond that the store is emptied, so that memory stays bounded.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 
 def default_vocabulary() -> str:
@@ -65,6 +66,16 @@ def _finders(pieces: str):
     return first.findall, regex.compile(text, regex.V1).findall
 
 
+@lru_cache(maxsize=1)
+def _later_capitals() -> dict[int, str]:
+    """Letters that Python's tables do not know, and the library lower-cases: code point -> small letter."""
+    later = "".join(chr(c) for c in range(256, 0x110000) if unicodedata.category(chr(c)) == "Cn")
+    small = normalizers.Lowercase().normalize_str(later)
+    if len(small) != len(later):
+        raise ValueError("a letter's lower case is longer than one letter")
+    return {ord(a): b for a, b in zip(later, small, strict=True) if a != b}
+
+
 class WordBpe(dict):
     """Maps a pre-token to its ids as little-endian unsigned 32-bit integers; unseen ones are merged on demand."""
 
@@ -96,6 +107,8 @@ class WordBpe(dict):
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.strings))]
         pieces = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find_latin, self.find_any = _finders(pieces)
+        self.later = _later_capitals()
+        self.find_later = re.compile("[" + "".join(map(chr, self.later)) + "]" if self.later else r"(?!)").search
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
 
     def __missing__(self, word: str) -> bytes:
@@ -148,7 +161,7 @@ class WordBpe(dict):
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.find_any(text)
+            return self.find_any(text.translate(self.later) if self.find_later(text) else text)
         return self.find_latin(text)
 
     def encode(self, text: str | None) -> bytes:

@@ -1,17 +1,18 @@
 """Secret scans: fixed patterns, and a guess-cost model for the values of credential contexts.
 
 The guess cost of a value is the least total, over all its segmentations, of the costs (log10 of guesses) of words,
-dates, repeats, keyboard walks and brute-force spans, found by dynamic programming. A value in a credential context whose
-cost reaches `min_cost` becomes a span of kind `cred`.
+dates, repeats, keyboard walks and brute-force spans, found by dynamic programming. Every value in a credential context is
+costed, whether a fixed pattern finds it or not; one whose cost reaches `min_cost` becomes a span of kind `cred`.
 
 Kinds `assign`, `access` and `hex` are the fixed patterns. Spans are in code points, the end is exclusive.
 
 Words are ranked by three lists, of which the best rank counts: WORDS, the whole words of the tokenizer's vocabulary in the order
 of their merges, and the words of the table itself by the number of documents that hold them outside of credential values.
 
-Rows: a null or empty text has no spans; texts are scanned whole; repeated rows give repeated results; other columns are
-ignored. Repeats and walks are segments of any length, so work grows with the square of a value's length, in array operations;
-for the rest of a text it is linear.
+Rows: a null or empty text has no spans; texts are scanned whole; repeated rows give repeated results; spans that start alike
+come in the order of the kinds; an empty table gives no rows; other columns, whatever their names, are ignored. Repeats and
+walks are segments of any length, so work grows with the square of a value's length, in array operations; for the rest of a text
+it is linear.
 """
 
 from __future__ import annotations
@@ -53,12 +54,24 @@ WORDS = (
 )
 #: Keyboard rows and orders along which walks go, either way.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv", "qazwsxedcrfv")
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
+#: A year alone, with a month, or with a month and a day; either order; digits only or with one separator.
+_YEAR, _MONTH, _DAY, _SEP = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", "[-/._]?"
+DATES = [re.compile(_SEP.join(form)) for form in ((_YEAR,), (_YEAR, _MONTH), (_YEAR, _MONTH, _DAY), (_DAY, _MONTH, _YEAR))]
+#: Year that guessers begin with.
+THIS_YEAR = 2025
 #: What counts as a word of the table: letters only; in so many documents at least, and so many words at most, the most frequent.
 WORD = re.compile(r"[^\W\d_]{3,24}")
 LEAST, MOST = 3, 100_000
 
 
+def _date_cost(date: str) -> float:
+    """log10 of guesses: years by their distance from THIS_YEAR, 20 at least, times months and days, times separators."""
+    digits = re.sub(r"\D", "", date)
+    year = int(digits[:4] if digits[:2] in ("19", "20") else digits[-4:])
+    days = {4: 1, 6: 12}.get(len(digits), 366)
+    return math.log10(max(20, abs(year - THIS_YEAR)) * days * (4 if len(digits) < len(date) else 1))
+
+
 def _ranks(words: list[str]) -> dict[str, float]:
     return {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}
 
@@ -102,8 +115,10 @@ def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
     per_char = math.log10(max(10, sum(size for size, kind in sizes if re.search(kind, value))))
     dates: dict[int, list[int]] = {}
     for start in range(n):
-        if value[start].isdigit() and (m := DATE.match(value, start)):
-            dates.setdefault(m.end(), []).append(start)
+        if value[start].isdigit():
+            for form in DATES:
+                if m := form.match(value, start):
+                    dates.setdefault(m.end(), []).append(start)
     extra = 0.3  # for guessing where segments begin
     # (start, end, least size, cost but for log10 of the size): any part of such a stretch can be a segment
     stretches = [(s, e, max(3, 2 * p), p * per_char - math.log10(p) + extra) for s, e, p in _repeats(low)]
@@ -124,7 +139,7 @@ def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
             stop = end - least + 1
             cost = min(cost, base + (best[s:stop] + logs[end - stop : end - s][::-1]).min())
         for start in dates.get(end, ()):
-            cost = min(cost, best[start] + 4.6 + extra)
+            cost = min(cost, best[start] + _date_cost(value[start:end]) + extra)
         for size in range(3, min(24, end) + 1):
             part = low[end - size : end]
             rank = min(ranks.get(part, math.inf), words.get(part, math.inf))
@@ -135,12 +150,25 @@ def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
     return float(best[n])
 
 
+class _Words(dict):
+    """The words of each piece between white space; a store for speed, emptied when full."""
+
+    def __missing__(self, piece: str) -> list[str]:
+        if len(self) >= 50_000:
+            self.clear()
+        found = self[piece] = WORD.findall(piece)
+        return found
+
+
+_words = _Words()
+
+
 def _outside(text: str) -> set[str]:
     """The words of a text, without the values of credential contexts and what the fixed patterns find."""
     low = text.lower()
     if any(h in low for h in CONTEXT_HINTS):
         low = CONTEXT.sub(" ", ASSIGN.sub(" ", text)).lower()
-    return set(WORD.findall(low))
+    return set().union(*map(_words.__getitem__, set(low.split())))
 
 
 def ranked_words(df: DataFrame, text_col: str = "text") -> dict[str, float]:
@@ -152,7 +180,7 @@ def ranked_words(df: DataFrame, text_col: str = "text") -> dict[str, float]:
             for text in b["t"]:
                 if text:
                     held.update(_outside(text))
-                if len(held) > 200_000:
+                if len(held) > 50_000:
                     yield from held.items()
                     held.clear()
         yield from held.items()
@@ -169,18 +197,14 @@ def scan(text: str | None, min_cost: float, words: dict[str, float] | None = Non
     low = text.lower()
     found: list[tuple[int, int, int, float | None]] = []
     if any(h in low for h in ASSIGN_HINTS):
-        found += [(m.start(), 0, m.end(), guess_cost(m[2], words)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [(m.start(), 0, m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
-        held = sorted((s, e) for s, _, e, _ in found)
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            if any(s < end and start < e for s, e in held):
-                continue
             if (cost := guess_cost(m[1], words)) >= min_cost:
-                found.append((start, 3, end, cost))
+                found.append((m.start(1), 3, m.end(1), cost))
     return [(KINDS[k], s, e, c) for s, k, e, c in sorted(found, key=lambda x: x[:3])]
 
 

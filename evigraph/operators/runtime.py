@@ -56,6 +56,12 @@ def chao(incidence: DataFrame) -> DataFrame:
 def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """JOIN-07: for each point (doc, p) the range (doc, lo, hi, name) that holds it, half-open; the innermost wins.
 
-    Equal on doc, so only a document's own ranges are looked at; the winner is an aggregate, not a window."""
-    j = points.join(ranges, "doc").where("p >= lo and p < hi")
+    A range lies in one or two cells of the power of two that its length doesn't exceed; a point looks into its own cell of each
+    size that its document has. So what is compared is about as much as what matches, however many ranges a document has."""
+    size = F.ceil(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).cast("int")
+    cell = lambda x: F.expr(f"shiftright({x}, size)")
+    r = ranges.where("hi > lo").withColumn("size", size)
+    placed = r.withColumn("cell", F.explode(F.array_distinct(F.array(cell("lo"), cell("hi - 1")))))
+    p = points.distinct().join(r.select("doc", "size").distinct(), "doc").withColumn("cell", cell("p"))
+    j = p.join(placed, ["doc", "size", "cell"]).where("p >= lo and p < hi")
     return j.groupBy("doc", "p").agg(F.max_by("name", F.struct("lo", (-F.col("hi")).alias("h"), "name")).alias("name"))

@@ -174,20 +174,20 @@ _add(
     "gra_10_mechanism",
     _graph(lambda e, n: walks.mechanism(e, _roots(n))),
     "with recursive " + with_frames("nodes", "edges")[5:] + """, f as (select src, dst, rel, arg_min(row(coalesce(observed, false)), seq) as p from edges where rel <> 'ASSOCIATES' group by src, dst, rel),
-r(root, node, depth) as (select id, id, 0 from nodes where type = 'VIEW' and id like '%97' union select root, dst, depth + 1 from r join f on node = src where depth < 5), l as (select root, node, min(depth) as depth from r group by all),
+r(root, node, depth) as (select id, id, 0 from nodes where type = 'VIEW' union select root, dst, depth + 1 from r join f on node = src where depth < 5), l as (select root, node, min(depth) as depth from r group by all),
 s as (select root, src, dst, rel, depth, row_number() over (partition by root order by depth, src, not p[1], dst, rel) as "order" from l join f on node = src) select root, "order", src, dst, rel, depth::bigint as depth from s where "order" <= 60""",
 )
 
 
 def _narrative(e: DataFrame, n: DataFrame) -> DataFrame:
-    seeds = n.where("type = 'ENTITY' and sensitive and id like '%7'").select("id")
+    seeds = n.where("type = 'ENTITY' and sensitive").select("id")
     return walks.narrative(e.withColumn("refuted", F.expr("weight = 6")), n, seeds)
 
 
 _add(
     "gra_22_narrative",
     _graph(_narrative),
-    "with recursive " + GRAPH[5:] + """, r(node) as (select id from nodes where type = 'ENTITY' and sensitive and id like '%7' union select src from r join (select distinct src, dst from ex) on dst = node),
+    "with recursive " + GRAPH[5:] + """, r(node) as (select id from nodes where type = 'ENTITY' and sensitive union select src from r join (select distinct src, dst from ex) on dst = node),
 w as (select src, dst, rel, seq, m, conf, case when weight = 6 and m <> 'RUNTIME_OBSERVED' then 'refuted' when m in ('RUNTIME_OBSERVED', 'STATIC_PROVEN') then 'walkable' end as verdict from ec where src in (select node from r) and dst in (select node from r))
 select src, dst, rel, arg_min(verdict, seq) as verdict, arg_min(m, seq) as method, arg_min(conf, seq) as confidence from w where verdict is not null group by src, dst, rel""",
 )

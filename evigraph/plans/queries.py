@@ -129,22 +129,22 @@ select '*', 'minted', count(*) from (select src as id from p union select dst fr
 
 
 def _roots(n: DataFrame) -> DataFrame:
-    """A stated set of roots: views whose number ends in 97."""
-    return n.where("type = 'VIEW' and id like '%97'").select("id")
+    """All views."""
+    return n.where("type = 'VIEW'").select("id")
 
 
 _add(
     "gra_02_reach",
     _graph(lambda e, n: fixpoint.reach(e.where("rel = 'CALLS'"), _roots(n))),
     """with recursive """ + with_frames("nodes", "edges")[5:] + """, st as (select distinct src, dst from edges where rel = 'CALLS'),
-r(root, node, depth) as (select id, id, 0 from nodes where type = 'VIEW' and id like '%97' union select root, dst, depth + 1 from r join st on node = src where depth < 40)
+r(root, node, depth) as (select id, id, 0 from nodes where type = 'VIEW' union select root, dst, depth + 1 from r join st on node = src where depth < 40)
 select root, node, min(depth) as depth from r group by root, node""",
 )
 _add(
     "gra_07_reach_count",
     _graph(lambda e, n: fixpoint.reach(e.where("rel = 'CALLS'"), _roots(n)).groupBy("root").agg((F.count("*") - 1).alias("reached"))),
     """with recursive """ + with_frames("nodes", "edges")[5:] + """, st as (select distinct src, dst from edges where rel = 'CALLS'),
-r(root, node) as (select id, id from nodes where type = 'VIEW' and id like '%97' union select root, dst from r join st on node = src)
+r(root, node) as (select id, id from nodes where type = 'VIEW' union select root, dst from r join st on node = src)
 select root, count(*) - 1 as reached from r group by root""",
 )
 
@@ -178,9 +178,9 @@ select c as component, max(level) as level from w group by c""",
 )
 _add(
     "gra_08_widest_path",
-    _graph(lambda e, n: fixpoint.widest(evidence.edge_evidence(evidence.existing_edges(e, n)), n.where("type = 'ENTITY' and sensitive and id like '%7'").select("id"))),
+    _graph(lambda e, n: fixpoint.widest(evidence.edge_evidence(evidence.existing_edges(e, n)), n.where("type = 'ENTITY' and sensitive").select("id"))),
     "with recursive " + GRAPH[5:] + """, st as (select src, dst, max(conf) as w from ec group by src, dst),
-r(node, width) as (select id, 1.0::double from nodes where type = 'ENTITY' and sensitive and id like '%7' union select src, least(width, w) from r join st on dst = node)
+r(node, width) as (select id, 1.0::double from nodes where type = 'ENTITY' and sensitive union select src, least(width, w) from r join st on dst = node)
 select node, max(width) as width from r group by node""",
 )
 _add(
@@ -388,9 +388,9 @@ _add(
 _add(
     "gra_14_runtime_gap",
     _graph(lambda e, n: fixpoint.reach(e.where("rel = 'CALLS'"), _roots(n.where("not runtime_hot"))).groupBy("root").agg((F.count("*") - 1).alias("reach")).orderBy(F.desc("reach"), "root").limit(25)),
-    "with recursive " + with_frames("nodes", "edges")[5:] + ", st as (select distinct src, dst from edges where rel = 'CALLS'), r(root, node) as (select id, id from nodes where type = 'VIEW' and id like '%97' and not runtime_hot union select root, dst from r join st on node = src) select root, count(*) - 1 as reach from r group by root order by reach desc, root limit 25",
+    "with recursive " + with_frames("nodes", "edges")[5:] + ", st as (select distinct src, dst from edges where rel = 'CALLS'), r(root, node) as (select id, id from nodes where type = 'VIEW' and not runtime_hot union select root, dst from r join st on node = src) select root, count(*) - 1 as reach from r group by root order by reach desc, root limit 25",
 )
-_add("str_02_stream_table_hits", lambda spark, d: streams.run_available(streams.table_hits(streams.events(spark, d))), SPANS + " select table_name, count(*) as hits from spans where table_name is not null group by table_name")
+_add("str_02_stream_table_hits", lambda spark, d: streams.run_available(streams.table_hits(streams.spans(streams.events(spark, d)))).drop("last_seen"), SPANS + " select table_name, count(*) as hits from spans where table_name is not null group by table_name")
 _add("str_window_counts", lambda spark, d: streams.run_available(streams.windowed(streams.events(spark, d))), "select date_trunc('hour', ts) as began, event_type, count(*) as n from events group by all")
 
 

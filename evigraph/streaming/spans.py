@@ -8,16 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.operators import runtime
+from evigraph.plans.adapters import FRAMES
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def spans(stream: DataFrame) -> DataFrame:
+    """The stream of events as spans, by the same SQL as the batch frame."""
+    return stream.sparkSession.sql(FRAMES["spans"].replace("from events", "from {events}"), events=stream)
+
+
 def table_hits(stream: DataFrame) -> DataFrame:
-    """STR-02 on a stream."""
-    named = stream.where("event_id % 4 <> 0").select(F.concat(F.lit("T"), F.col("event_id") % 17).alias("table_name"), "ts")
-    return named.groupBy("table_name").agg(F.count("*").alias("hits"))
+    """STR-02 on a stream of spans: the batch operator, with a state per table."""
+    return runtime.table_hits(stream)
 
 
 def windowed(stream: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -29,7 +36,11 @@ def windowed(stream: DataFrame, size: str = "1 hour", late: str = "10 minutes")
 def run_available(result: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now; the last state is written to the shared folder by foreachBatch and read back."""
     spark = result.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="evigraph-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="evigraph-")
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")).start()
     query.awaitTermination()

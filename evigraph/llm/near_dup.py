@@ -34,7 +34,7 @@ from evigraph.llm.components import components
 
 KEPT_WORDS = 100_000
 #: Classes, and their shingles, that are compared in one block; larger buckets and clusters are dealt to pairs of blocks.
-BLOCK, BLOCK_SHINGLES = 4000, 1_500_000
+BLOCK, BLOCK_SHINGLES = 4000, 750_000
 
 
 class _Words(dict):
@@ -114,6 +114,7 @@ def _profiles(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     continue
                 coords = sketch(s, bands * rows)
                 yield key, x, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), buckets(coords, bands, rows).tolist(), (_mix(coords) & np.uint64(255)).astype(np.uint8).tobytes()
+        _words.clear()  # a worker lives on after its task
 
     return arrow_stage(df, "id long, x long, n long, digest binary, bands array<long>, coords binary", run)
 
@@ -193,13 +194,13 @@ def _links(dealt: DataFrame, width: int, percent: int) -> DataFrame:
         if m < 2:
             return
         sets = [shingles(t, width) for _, t in group]
+        _words.clear()
         n = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(m), n)
-        _, item = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.concatenate(sets)
+        item = np.unique(sets, return_inverse=True)[1].astype(np.int32)
         del sets
         ends = np.cumsum(n)
-        by_item = np.argsort(item, kind="stable")
-        holders, sizes = owner[by_item], np.bincount(item)
+        holders, sizes = np.repeat(np.arange(m, dtype=np.int32), n)[np.argsort(item, kind="stable")], np.bincount(item)
         begins = np.cumsum(sizes) - sizes
         forest = _Forest(m)
         for k in forest.apart(m):

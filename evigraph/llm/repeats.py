@@ -121,6 +121,7 @@ def _occurrences(texts: DataFrame, length: int, data_of: Callable) -> DataFrame:
                     starts.setdefault(k, []).append(s)
                 ks = list(starts)
                 yield key, x, [k[0] for k in ks], [k[1] for k in ks], list(starts.values()), [k[2] for k in ks], [k[3] for k in ks]
+        _codes.clear()  # a worker lives on after its task
 
     out = arrow_stage(texts, "id long, x long, h array<long>, c array<long>, starts array<array<int>>, off array<int>, w array<int>", run)
     out = out.select("id", "x", F.explode(F.arrays_zip("h", "c", "starts", "off", "w")).alias("o"))
@@ -193,6 +194,7 @@ def _group_runs(cut: DataFrame, length: int, data_of: Callable) -> DataFrame:
                 for o in want:
                     if not o["hot"]:
                         yield o["h"], o["c"], o["off"], data[o["start"] : o["start"] + o["w"] + length]
+        _codes.clear()
 
     def solve(batches):
         def done(held):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigraph.llm.bpe import default_vocabulary
-from evigraph.llm.common import arrow_stage
+from evigraph.llm.common import arrow_stage, written
 
 KINDS = ("assign", "access", "hex", "cred")
 
@@ -59,7 +59,8 @@ _YEAR, _MONTH, _DAY, _SEP = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|
 DATES = [re.compile(_SEP.join(form)) for form in ((_YEAR,), (_YEAR, _MONTH), (_YEAR, _MONTH, _DAY), (_DAY, _MONTH, _YEAR))]
 #: Year that guessers begin with.
 THIS_YEAR = 2025
-#: What counts as a word of the table: letters only; in so many documents at least, and so many words at most, the most frequent.
+#: What counts as a word of the table: letters only; in so many documents at least, and so many words at most, the most frequent:
+#: they are broadcast, about 10 MB.
 WORD = re.compile(r"[^\W\d_]{3,24}")
 LEAST, MOST = 3, 100_000
 
@@ -172,7 +173,10 @@ def _outside(text: str) -> set[str]:
 
 
 def ranked_words(df: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Costs of the MOST words that most documents hold, of those in LEAST documents or more; ties by the word."""
+    """Costs of the words that most documents hold, of those in LEAST documents or more; words in as many documents by the word.
+
+    Words are counted over all documents. A table of an eighth of a doubling each tells from how many documents on there are MOST
+    words at most; only these reach the driver."""
 
     def count(batches):
         held: Counter = Counter()
@@ -184,10 +188,18 @@ def ranked_words(df: DataFrame, text_col: str = "text") -> dict[str, float]:
                     yield from held.items()
                     held.clear()
         yield from held.items()
+        _words.clear()  # a worker lives on after its task
 
     parts = arrow_stage(df.select(F.col(text_col).cast("string").alias("t")), "w string, n long", count)
-    top = parts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(MOST)
-    return _ranks([r["w"] for r in top.collect()])
+    counts = written(parts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).withColumn("size", F.floor(F.log2("n") * 8).cast("int")), "words")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy("size").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
+        held += r["words"]
+        if held > MOST:
+            least = r["size"] + 1
+            break
+    top = counts.where(F.col("size") >= least).select("w", "n").collect()
+    return _ranks([r["w"] for r in sorted(top, key=lambda r: (-r["n"], r["w"]))])
 
 
 def scan(text: str | None, min_cost: float, words: dict[str, float] | None = None) -> list[tuple[str, int, int, float | None]]:

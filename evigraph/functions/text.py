@@ -156,7 +156,7 @@ def operation_score(operation: Column, class_name: Column) -> Column:
     """FN-11: 90 equal, 80 or 70 one within the other (80 from six tenths of the length on), else 0."""
     o, c = F.lower(operation), class_base(class_name)
     ratio = F.least(F.length(o), F.length(c)) / F.greatest(F.length(o), F.length(c))
-    return F.when(o == c, 90).when(~(o.contains(c) | c.contains(o)), 0).when(ratio >= 0.6, 80).otherwise(70)
+    return F.when(o.isNull() | c.isNull(), None).when(o == c, 90).when(~(o.contains(c) | c.contains(o)), 0).when(ratio >= 0.6, 80).otherwise(70)
 
 
 def operation_of_url(url: Column) -> Column:
@@ -251,3 +251,138 @@ def is_server_side(path: Column) -> Column:
     built = F.lower(path).rlike("node_modules|dist/|build/")
     server = path.rlike("(?i)^(server|backend)/|/(server|backend|middlewares?|controllers?|services?|routes?|api)/")
     return ~built & server & ~path.rlike("/src/(views|pages|components|layouts)/")
+
+
+def tokenized(value: Column) -> Column:
+    """FN-17: lower-case words of a name in camel case or with separators, then those that end in s without it (four letters or more)."""
+    parts = F.transform(F.filter(F.split(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+"), lambda x: x != ""), F.lower)
+    singular = F.transform(F.filter(parts, lambda x: (F.length(x) > 3) & x.endswith("s")), lambda x: F.left(x, F.length(x) - 1))
+    return F.array_join(F.concat(parts, singular), " ")
+
+
+def is_comment(line: Column) -> Column:
+    """FN-19: blank, or beginning with the mark of a comment."""
+    return F.trim(line).rlike("^($|\\*|//|/\\*|#|<!--|-->)")
+
+
+def masked_line(line: Column) -> Column:
+    """FN-19: without what follows // or /*, and with the insides of strings as blanks; null for a comment."""
+    cut = F.regexp_replace(line, "(//|/\\*).*$", "")
+    parts = F.regexp_extract_all(cut, F.lit("(\"[^\"]*\"|'[^']*'|`[^`]*`|[^\"'`]+|.)"), 1)
+    inner = lambda x: F.concat(F.left(x, F.lit(1)), F.repeat(F.lit(" "), F.length(x) - 2), F.right(x, F.lit(1)))
+    return F.when(~is_comment(line), F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[\"'`]") & (F.length(x) > 1), inner(x)).otherwise(x)), ""))
+
+
+def age_hours(at: Column, now: Column) -> Column:
+    """FN-23: hours between two times, none below 0; null for an unknown one."""
+    return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 3.6e9)
+
+
+def iso_time(at: Column) -> Column:
+    """FN-23, FN-29: ISO 8601 with milliseconds, UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+#: Folders of tests and builds, and folders that say nothing about the architecture.
+TEST_FOLDER, BUILD_FOLDER = "(?i)^(tests?|__tests__|specs?|mocks?|__mocks__|fixtures?)$", "(?i)^(node_modules|dist|build|target)$"
+BOILERPLATE = ("src", "main", "java", "com", "org")
+
+
+def _folders(path: Column) -> Column:
+    parts = segments(path)
+    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def package_key(path: Column, depth: int = 2) -> Column:
+    """FN-24: the first `depth` folders behind the boilerplate; "(raiz)" at the root, empty for tests."""
+    parts = _folders(path)
+    last = F.size(parts) - 1
+    lead = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + F.when(s["on"] & x.isin(*BOILERPLATE, "app"), 1).otherwise(0)).alias("n"), (s["on"] & x.isin(*BOILERPLATE, "app")).alias("on")), lambda s: s["n"])
+    rest = F.array_join(F.slice(parts, F.least(lead, last) + 1, F.lit(depth)), "/")
+    return F.when(F.size(parts) == 0, "(raiz)").when(F.exists(parts, lambda x: x.rlike(TEST_FOLDER)), "").otherwise(rest)
+
+
+def component_key(path: Column) -> Column:
+    """FN-24: the last two folders that say something; empty for tests and builds."""
+    parts = _folders(path)
+    last_two = lambda a: F.array_join(F.slice(a, F.greatest(F.size(a) - 1, F.lit(1)), F.lit(2)), "/")
+    good = F.filter(parts, lambda x: ~x.isin(*BOILERPLATE))
+    return F.when(F.exists(parts, lambda x: x.rlike(TEST_FOLDER) | x.rlike(BUILD_FOLDER)), "").when(F.size(good) > 0, last_two(good)).otherwise(last_two(parts))
+
+
+def container_of(node_type: Column, stack: Column, path: Column) -> Column:
+    """FN-24: db, frontend, backend, gateway or null."""
+    t, s = F.upper(node_type), F.lower(F.coalesce(stack, F.lit("")))
+    return F.when(t.isin("ENTITY", "SUPERTYPE"), "db").when(t.isin("VIEW", "COMPONENT", "COMPOSABLE") | s.rlike("vue|react|vite"), "frontend").when(s.rlike("spring|java"), "backend").when(s.rlike("express|node") | F.coalesce(path, F.lit("")).contains("services/gateway"), "gateway")
+
+
+def route_domain(endpoint: Column, path: Column) -> Column:
+    """FN-24: the first part of a route that is no parameter or version, behind `api`; else the file's folder, else "geral"."""
+    parts = F.filter(segments(F.coalesce(endpoint, F.lit(""))), lambda x: ~x.startswith(":") & ~x.rlike("^v\\d+$"))
+    files = segments(F.coalesce(path, F.lit("")))
+    return F.when(F.size(parts) > 0, F.when(F.get(parts, 0) == "api", F.coalesce(F.get(parts, 1), F.lit("api"))).otherwise(F.get(parts, 0))).when(F.size(files) > 2, F.get(files, F.size(files) - 2)).otherwise("geral")
+
+
+def safe_id(raw: Column) -> Column:
+    """FN-27"""
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(s == "", "n").otherwise(s)
+
+
+def clamp(value: Column, most: int = 40) -> Column:
+    """FN-27: one space between words, cut with an ellipsis."""
+    t = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), "\\s+", " "))
+    return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most - 1)), F.lit("…"))).otherwise(t)
+
+
+def diagram_confidence(method: Column, resolution: Column) -> Column:
+    """FN-32"""
+    proven = method.isin("STATIC_PROVEN", "CONFIG_PROVEN") | (resolution == "compiler")
+    return F.when(method == "RUNTIME_OBSERVED", "observed").when(F.coalesce(proven, F.lit(False)), "proven").otherwise("inferred")
+
+
+#: Roles and the types that older readers know them by.
+LEGACY_TYPES = {"Controller": "CONTROLLER", "Service": "SERVICE", "Repository": "REPOSITORY", "Entity": "ENTITY", "View": "VIEW", "UiComponent": "COMPONENT", "Composable": "COMPOSABLE", "Route": "ROUTE"}
+
+
+def legacy_type(role: Column) -> Column:
+    """FN-35: fails on a role that isn't active."""
+    out = F
+    for name, value in LEGACY_TYPES.items():
+        out = out.when(role == name, value)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no type for role "), role)).cast("string"))
+
+
+def repo_slug(url: Column) -> Column:
+    """FN-37: owner/name of a repository's URL; null for others."""
+    t = F.regexp_replace(F.trim(url), "\\.git$", "")
+    m = F.nullif(F.regexp_extract(t, "[/:]([^/:\\s]+/[^/\\s]+)$", 1), F.lit(""))
+    return F.coalesce(m, F.when(t.rlike("^[^/\\s]+/[^/\\s]+$"), t))
+
+
+def bare_symbol(name: Column) -> Column:
+    """FN-37"""
+    return F.trim(F.element_at(F.split(name, "\\."), -1))
+
+
+#: Tables that frameworks keep for themselves.
+INFRASTRUCTURE = "^(databasechangelog|flyway_schema_history$|schema_migrations$|__drizzle_migrations$|qrtz_|shedlock$|scheduled_job_lock$|spring_session|session$|sessions$|oauth2?_|pg_)|_lock$"
+
+
+def is_infrastructure(table: Column) -> Column:
+    """PRJ-13"""
+    return F.lower(F.trim(F.coalesce(table, F.lit("")))).rlike(INFRASTRUCTURE)
+
+
+#: Handlers that change nothing but the screen.
+UI_HANDLERS = (
+    "stopPropagation", "preventDefault", "onChange", "onClose", "onBlur", "onFocus", "cancelSelection", "formatDate", "getSortIcon", "onCancel", "handleCancel", "copyToClipboard", "copyJsonToClipboard", "toggleRegistration", "handleDismiss",
+    "handlePrev", "handleNext", "handleSkip", "handleSort", "handleReset", "handleCapture", "startCamera", "exportToCSV", "onBackToLogin", "toggleExtractedFields", "handleDataManagerOpen", "handleCancelEdit", "handleSelectAllProcesses", "onClick",
+)
+UI_PATTERN = "^set[A-Z]|^toggle[A-Z]|^on(Close|Cancel|Blur|Focus|Back|Dismiss)|^copy\\w*ToClipboard$|^(show|hide|open|close)[A-Z]|^handle(Cancel|Close|Dismiss|Back|Reset|Clear|Toggle)$"
+
+
+def is_ui_only(endpoint: Column, category: Column, interaction: Column) -> Column:
+    """PRJ-18"""
+    handler = F.regexp_replace(interaction, "^(button|input|element|link): ", "")
+    return F.when(F.coalesce(endpoint, F.lit("")) != "", False).otherwise(F.coalesce(category.isin("UI_ONLY", "STATE_ONLY"), F.lit(False)) | handler.rlike(UI_PATTERN) | handler.isin(*UI_HANDLERS))

@@ -149,3 +149,22 @@ def merge_overlay(edges: DataFrame, proofs: DataFrame, nodes: DataFrame) -> tupl
     merged = left.join(right, key, "full_outer").select(*key, F.coalesce("proof", "resolution").alias("resolution"), F.when(F.col("proof").isNull(), "kept").otherwise("proven").alias("origin"))
     minted = proofs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
     return merged, minted
+
+
+def node_evidence(nodes: DataFrame) -> DataFrame:
+    """PRJ-04: a node that ran is observed; any other stands in the code, so it is proven."""
+    method = F.when(F.coalesce("runtime_hot", F.lit(False)), "RUNTIME_OBSERVED").otherwise("STATIC_PROVEN")
+    return nodes.withColumn("method", method).withColumn("confidence", confidence_of(F.col("method")))
+
+
+#: Ways in which an edge is refuted; any other word stands for the second.
+REFUTED = ("REFUTED_LIKELY_DEAD", "REFUTED_UNREACHABLE_BY_ROBOT")
+
+
+def refutation(subtype: Column, bare: Column, attempts: Column, reason: Column) -> Column:
+    """PRJ-05: struct(subtype, attempts, reason) of a refuted edge; `bare`: only said to be refuted; null for others."""
+    kind = F.when(subtype == REFUTED[0], REFUTED[0]).otherwise(REFUTED[1])
+    known = F.coalesce(subtype, F.lit("")) != ""
+    full = F.struct(kind.alias("subtype"), F.when(attempts >= 0, attempts).alias("attempts"), F.nullif(F.trim(reason), F.lit("")).alias("reason"))
+    only = F.struct(F.lit(REFUTED[1]).alias("subtype"), F.when(F.lit(False), attempts).alias("attempts"), F.lit(None).cast("string").alias("reason"))
+    return F.when(known, full).when(bare, only)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,3 +192,8 @@ def reliability(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pdf.assign(low=[round(g[0], 6) for g in got], high=[round(g[1], 6) for g in got])
 
     return c.mapInPandas(bounds, "method string, pairs long, confirmed long, rate double, low double, high double")
+
+
+def normal_quantile(p: float) -> float:
+    """FN-26"""
+    return NormalDist().inv_cdf(p)

@@ -57,6 +57,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _named(sql: str, tables: list[str]) -> str:
     """The tables' names as parameters of spark.sql(), so that no view is left in the session."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
     return sql

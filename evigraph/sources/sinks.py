@@ -6,7 +6,7 @@ import hashlib
 import hmac
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,11 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def canonical_columns(size: Column, brand: Column) -> Column:
+    """FN-22 on columns: to_json writes the fields in the order given, so they are given sorted."""
+    return F.to_json(F.struct(brand.alias("brand"), size.alias("size")))
+
+
 def sign_report(report: dict, key: bytes) -> dict:
     """SNK-07: content hash and HMAC over the canonical form."""
     text = canonical(report).encode()

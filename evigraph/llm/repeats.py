@@ -1,20 +1,21 @@
 """Removal of long repeated byte strings by column-wise suffix construction over many documents.
 
 A byte is removed if a string of `length` bytes that covers it also starts anywhere else in the table. without_passages()
-measures in words instead: each word becomes CODE bytes of its hash, and the same construction runs over these.
+measures in words instead: each word becomes one symbol, 32 bits of its hash, and the same construction runs over these. A Measure
+says what the symbols are; lengths, starts and runs below are in symbols.
 
 Inserting one symbol per document each round over whole documents takes as many rounds as the longest document has bytes,
 and each round passes over all that was inserted before. So the documents are first cut where equal strings must agree:
 
-1. Every window of `length` bytes chooses an anchor, its k-gram of least hash (the leftmost on ties). Equal windows choose
-   equal anchors at equal offsets. The windows of one anchor occurrence are consecutive; their bytes are its context.
+1. Every window of `length` symbols chooses an anchor, its k-gram of least hash (the leftmost on ties). Equal windows choose
+   equal anchors at equal offsets. The windows of one anchor occurrence are consecutive; their symbols are its context.
 2. Contexts are counted by (anchor, context). Equal contexts are repeats as a whole; an anchor with one context is none.
 3. The distinct contexts of an anchor are a small collection, aligned at the anchor, on which the suffix order and the
    common prefixes are built column by column from the right: each round inserts one symbol of every context, a stable
    sort by that symbol updates the order (its permuted symbols are the column's part of the transform), and range minima
    update the common prefixes. Because equal windows are aligned, only suffixes of one column need comparing. A window
-   whose suffix shares `length` bytes with a neighbour is a repeat. Contexts reach a task from the shuffle's sorted files in
-   sequence; a batch's columns, below 2 * length bytes for each of its contexts, are the only ones in memory.
+   whose suffix shares `length` symbols with a neighbour is a repeat. Contexts reach a task from the shuffle's sorted files in
+   sequence; a batch's columns, below 2 * length symbols for each of its contexts, are the only ones in memory.
 4. Anchors of more than `hot` distinct contexts would fill one task. Their windows are counted one by one, by 128-bit
    hashes, in an aggregation that any number of tasks share.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -38,13 +40,10 @@ from pyspark.sql import types as T
 from evigraph.llm.common import arrow_stage, numbered, settled, steps_so_far, written
 from evigraph.llm.near_dup import _mix
 
-GRAM = 32
 #: Contexts in one batch; the last anchor group of a batch comes on top, with `hot` contexts at most.
 BATCH = 20_000
 #: Tasks that the windows of one text are dealt to where they are counted one by one.
 SALTS = 64
-#: Bytes that stand for a word where passages are measured in words; different words share them with a probability of 2^-32.
-CODE = 4
 #: Scripts without spaces, of which each character is a word, and what is not of any word: spaces and punctuation.
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _NOT_WORD = r"\s!-/:-@\[-`{-~\xa1\xab\xb7\xbb\xbf\u2000-\u206f\u3000-\u303f\uff01-\uff0f"
@@ -52,20 +51,20 @@ WORD = re.compile(f"[{_SINGLE}]|[^{_NOT_WORD}{_SINGLE}]+(?:['\u2019-][^{_NOT_WOR
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position on."""
-    h, step = _TABLE[data], 1
+def grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the `gram` symbols (a power of two) from each position on."""
+    h, step = (_TABLE[data] if data.dtype == np.uint8 else _mix(data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), 1
     power = np.uint64(0xD6E8FEB86659FD93)
-    while step < GRAM:
+    while step < gram:
         h = h[:-step] * power + h[step:]
         power, step = np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF), step * 2
     return _mix(h)
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first window start, last window start) of the anchors of all windows, by position."""
-    v = grams(data)
-    size = length - GRAM + 1  # k-grams in a window
+    v = grams(data, gram)
+    size = length - gram + 1  # k-grams in a window
     low, at, step = v, np.arange(len(v), dtype=np.int32), 1
     while step * 2 <= size:
         left = low[:-step] <= low[step:]
@@ -103,19 +102,32 @@ def _word_codes(text: str | None) -> bytes:
     return b"".join(map(_codes.__getitem__, text.split())) if text else b""
 
 
-def _occurrences(texts: DataFrame, length: int, data_of: Callable) -> DataFrame:
+class Measure(NamedTuple):
+    """What repeats are measured in: a text's symbols as bytes, bytes of a symbol, symbols of an anchor's k-gram."""
+
+    data_of: Callable[[str | None], bytes]
+    unit: int
+    gram: int
+
+
+BYTES = Measure(_bytes, 1, 32)
+WORDS = Measure(_word_codes, 4, 8)
+
+
+def _occurrences(texts: DataFrame, length: int, measure: Measure) -> DataFrame:
     """One row per document and distinct context: h, c, starts (of the first window, ascending), off (anchor - start), w (windows - 1)."""
+    unit, gram = measure.unit, measure.gram
 
     def run(batches):
         for b in batches:
             for key, x, text in zip(b["id"], b["x"], b["text"], strict=True):
-                data = data_of(text)
-                if len(data) < length:
+                data = measure.data_of(text)
+                if len(data) < length * unit:
                     continue
-                hs, pos, first, last = anchors(np.frombuffer(data, np.uint8), length)
+                hs, pos, first, last = anchors(np.frombuffer(data, f"<u{unit}"), length, gram)
                 h, off, w = hs.view(np.int64).tolist(), (pos - first).tolist(), (last - first).tolist()
                 lo = first.tolist()
-                c = [xxhash.xxh3_64_intdigest(data[s : s + n + length], seed=o) - (1 << 63) for s, n, o in zip(lo, w, off, strict=True)]
+                c = [xxhash.xxh3_64_intdigest(data[s * unit : (s + n + length) * unit], seed=o) - (1 << 63) for s, n, o in zip(lo, w, off, strict=True)]
                 starts: dict[tuple, list[int]] = {}
                 for k, s in zip(zip(h, c, off, w, strict=True), lo, strict=True):
                     starts.setdefault(k, []).append(s)
@@ -123,27 +135,29 @@ def _occurrences(texts: DataFrame, length: int, data_of: Callable) -> DataFrame:
                 yield key, x, [k[0] for k in ks], [k[1] for k in ks], list(starts.values()), [k[2] for k in ks], [k[3] for k in ks]
         _codes.clear()  # a worker lives on after its task
 
-    out = arrow_stage(texts, "id long, x long, h array<long>, c array<long>, starts array<array<int>>, off array<int>, w array<int>", run)
+    out = arrow_stage(texts, "id long, x long, h array<long>, c array<long>, starts array<array<int>>, off array<int>, w array<int>", run, out_rows=500)
     out = out.select("id", "x", F.explode(F.arrays_zip("h", "c", "starts", "off", "w")).alias("o"))
     return out.select("id", "x", "o.h", "o.c", "o.starts", "o.off", "o.w")
 
 
-def repeated_windows(contexts: list[bytes], offs: list[int], groups: list[int], length: int) -> list[list[tuple[int, int]]]:
+def repeated_windows(contexts: list[bytes], offs: list[int], groups: list[int], length: int, unit: int = 1) -> list[list[tuple[int, int]]]:
     """For each context the runs (first, last) of window starts whose window another context of its group has at the same
     distance from the anchor. Equal groups must be adjacent."""
     m = len(contexts)
-    sizes = np.array([len(c) for c in contexts])
+    kind, bits = np.dtype(f"<u{unit}"), 8 * unit + 1
+    sizes = np.array([len(c) // unit for c in contexts])
     off = np.array(offs)
     left, right = int(-off.max()), int((sizes - off).max())
-    columns = np.zeros((right - left, m), np.uint8)
+    columns = np.zeros((right - left, m), kind)
     for k in range(0, m, 256):
-        block = np.zeros((min(256, m - k), right - left), np.uint8)
+        block = np.zeros((min(256, m - k), right - left), kind)
         for i, c in enumerate(contexts[k : k + 256]):
             at = -left - offs[k + i]
-            block[i, at : at + len(c)] = np.frombuffer(c, np.uint8)
+            block[i, at : at + len(c) // unit] = np.frombuffer(c, kind)
         columns[:, k : k + 256] = block.T
     ids = np.asarray(groups)
-    rank = np.cumsum(np.r_[0, ids[1:] != ids[:-1]]).astype(np.int64) << 9
+    rank = np.cumsum(np.r_[0, ids[1:] != ids[:-1]]).astype(np.int64) << bits
+    outside = 1 << (bits - 1)
     order = np.arange(m)
     common = np.zeros(m + 1, np.int32)  # of each suffix with the one before it in the order; the last entry bounds ranges
     start_last = sizes - length - off
@@ -152,10 +166,10 @@ def repeated_windows(contexts: list[bytes], offs: list[int], groups: list[int],
     for col in range(right - 1, left - 1, -1):
         symbol = columns[col - left].astype(np.int64)
         inside = (col >= -off) & (col < sizes - off)
-        key = (rank + np.where(inside, symbol, 256))[order]
+        key = (rank + np.where(inside, symbol, outside))[order]
         new = np.argsort(key, kind="stable")
         q, p = new[:-1], new[1:]
-        same = (key[q] == key[p]) & (key[p] & 511 < 256)
+        same = (key[q] == key[p]) & (key[p] & (2 * outside - 1) < outside)
         pairs = np.flatnonzero(same)
         lcp = np.zeros(m + 1, np.int32)
         if len(pairs):
@@ -186,19 +200,21 @@ def _cut(reps: DataFrame, texts: DataFrame) -> DataFrame:
     return both
 
 
-def _group_runs(cut: DataFrame, length: int, data_of: Callable) -> DataFrame:
+def _group_runs(cut: DataFrame, length: int, measure: Measure) -> DataFrame:
+    unit = measure.unit
+
     def pieces(batches):
         for b in batches:
             for want, text in zip(b["want"], b["text"], strict=True):
-                data = data_of(text)
+                data = measure.data_of(text)
                 for o in want:
                     if not o["hot"]:
-                        yield o["h"], o["c"], o["off"], data[o["start"] : o["start"] + o["w"] + length]
+                        yield o["h"], o["c"], o["off"], data[o["start"] * unit : (o["start"] + o["w"] + length) * unit]
         _codes.clear()
 
     def solve(batches):
         def done(held):
-            got = repeated_windows([r[3] for r in held], [r[2] for r in held], [r[0] for r in held], length)
+            got = repeated_windows([r[3] for r in held], [r[2] for r in held], [r[0] for r in held], length, unit)
             for (h, c, _, _), runs in zip(held, got, strict=True):
                 if runs:
                     yield h, c, [{"a": a, "b": z} for a, z in runs]
@@ -217,15 +233,17 @@ def _group_runs(cut: DataFrame, length: int, data_of: Callable) -> DataFrame:
     return arrow_stage(parts, "h long, c long, runs array<struct<a:int,b:int>>", solve)
 
 
-def _hot_runs(cut: DataFrame, length: int, data_of: Callable) -> DataFrame:
+def _hot_runs(cut: DataFrame, length: int, measure: Measure) -> DataFrame:
+    unit = measure.unit
+
     def windows(batches):
         for b in batches:
             for want, text in zip(b["want"], b["text"], strict=True):
-                data = data_of(text)
+                data = measure.data_of(text)
                 for o in want:
                     if o["hot"]:
                         for k in range(o["w"] + 1):
-                            d = xxhash.xxh3_128_intdigest(data[o["start"] + k : o["start"] + k + length])
+                            d = xxhash.xxh3_128_intdigest(data[(o["start"] + k) * unit : (o["start"] + k + length) * unit])
                             yield o["h"], o["c"], k, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
     one = arrow_stage(cut, "h long, c long, k int, p long, q long", windows)
@@ -233,21 +251,21 @@ def _hot_runs(cut: DataFrame, length: int, data_of: Callable) -> DataFrame:
     return one.withColumn("salt", F.pmod(F.xxhash64("c", "k"), F.lit(SALTS)).cast("int")).join(many, ["p", "q", "salt"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).alias("runs"))
 
 
-def _covers(texts: DataFrame, length: int, hot: int, data_of: Callable[[str | None], bytes] = _bytes) -> DataFrame:
-    """(sid, sx, cover) of the documents with something to remove; cover: array of (a, b) ranges of data_of(text), in no order.
+def _covers(texts: DataFrame, length: int, hot: int, measure: Measure = BYTES) -> DataFrame:
+    """(sid, sx, cover) of the documents with something to remove; cover: array of (a, b) ranges of symbols, in no order.
 
     Sides of joins on an anchor are tables, so that Spark can split the partition of a frequent one.
     """
     before = steps_so_far()
-    found = written(_occurrences(texts.select("id", "x", "text"), length, data_of), "anchors")
+    found = written(_occurrences(texts.select("id", "x", "text"), length, measure), "anchors")
     shared = written(found.groupBy("h").agg(F.sum(F.size("starts")).alias("total")).where("total > 1").select("h"), "shared")
     one = F.struct("id", "x", F.element_at("starts", 1).alias("start"))
     contexts = written(found.join(shared, "h").groupBy("h", "c", "off", "w").agg(F.sum(F.size("starts")).alias("total"), F.min(one).alias("rep")), "contexts")
     several = written(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", (F.col("m") > hot).alias("hot")), "several")
     cut = _cut(contexts.join(several, "h").select("h", "c", "off", "w", "rep.*", "hot"), texts)
-    runs = _group_runs(cut, length, data_of)
+    runs = _group_runs(cut, length, measure)
     if several.where("hot").take(1):
-        runs = runs.unionByName(_hot_runs(cut, length, data_of))
+        runs = runs.unionByName(_hot_runs(cut, length, measure))
     whole = contexts.where("total > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("w").alias("b"))).alias("runs"))
     single = contexts.where("total = 1").select("h", "c")
     flags = written(whole.unionByName(runs.join(single, ["h", "c"], "left_semi")), "flags")
@@ -280,7 +298,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     passages, an array of (start, end) of the maximal runs, in words, of what repeats for `words` words or more."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("x", F.xxhash64("text"))
     joined = texts
-    for name, covers in (("cover", _covers(texts, length, hot)), ("passages", _covers(texts, words * CODE, hot, _word_codes))):
+    for name, covers in (("cover", _covers(texts, length, hot)), ("passages", _covers(texts, words, hot, WORDS))):
         covers = covers.withColumnRenamed("cover", name)
         joined = joined.join(covers, F.col("id").eqNullSafe(F.col("sid")) & (F.col("x") == F.col("sx")), "left").drop("sid", "sx")
 
@@ -288,7 +306,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         for b in batches:
             for key, text, cover, passages in zip(b["id"], b["text"], b["cover"], b["passages"], strict=True):
                 data, spans = _bytes(text), _spans(cover)
-                yield key, len(data), spans, _without(data, spans), [{"start": s, "end": e} for s, e in _word_spans(passages, words)]
+                yield key, len(data), spans, _without(data, spans), _spans(passages)
 
     span = "array<struct<start:long,end:long>>"
     return arrow_stage(joined.select("id", "text", "cover", "passages"), f"`{id_col}` long, n_bytes long, spans {span}, kept binary, passages {span}", remove)
@@ -323,17 +341,11 @@ def _taken_out(df: DataFrame, keys: tuple, covers: DataFrame, text_col: str, wit
     return arrow_stage(joined, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]), remove)
 
 
-def _word_spans(cover: list[dict] | None, words: int) -> list[tuple[int, int]]:
-    """(first, after the last) of the words that lie wholly in each run of the code ranges, where these are `words` or more."""
-    runs = ((-(-s["start"] // CODE), s["end"] // CODE) for s in _spans(cover))
-    return [(first, after) for first, after in runs if after - first >= words]
-
-
-def _without_words(text: str, runs: list[tuple[int, int]]) -> str:
-    """The text without the words of the runs, and without what separates each run from the word after it."""
+def _without_words(text: str, spans: list[dict]) -> str:
+    """The text without the words of the spans, and without what separates each span from the word after it."""
     at = [m.span() for m in WORD.finditer(text)]
     kept, done = [], 0
-    for first, after in runs:
+    for first, after in ((s["start"], s["end"]) for s in spans):
         kept.append(text[done : at[first][0]])
         done = at[after][0] if after < len(at) else at[after - 1][1]
     return "".join([*kept, text[done:]])
@@ -348,7 +360,7 @@ def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keys = (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
     texts = df.select(keys[0].alias("id"), F.col(text_col).cast("string").alias("text"), keys[1].alias("x"))
-    return _taken_out(df, keys, _covers(texts, words * CODE, hot, _word_codes), text_col, lambda text, cover: _without_words(text, _word_spans(cover, words)))
+    return _taken_out(df, keys, _covers(texts, words, hot, WORDS), text_col, lambda text, cover: _without_words(text, _spans(cover)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -168,3 +168,17 @@ def refutation(subtype: Column, bare: Column, attempts: Column, reason: Column)
     full = F.struct(kind.alias("subtype"), F.when(attempts >= 0, attempts).alias("attempts"), F.nullif(F.trim(reason), F.lit("")).alias("reason"))
     only = F.struct(F.lit(REFUTED[1]).alias("subtype"), F.when(F.lit(False), attempts).alias("attempts"), F.lit(None).cast("string").alias("reason"))
     return F.when(known, full).when(bare, only)
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """PRJ-02: per source how many nodes it calls, writes and reads."""
+    of = lambda rel: F.count_distinct(F.when(F.col("rel") == rel, F.col("dst")))
+    return edges.groupBy("src").agg(of("CALLS").alias("callees"), of("WRITES_ENTITY").alias("written"), of("READS_ENTITY").alias("read"))
+
+
+def facts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """AGG-16: one row: nodes, existing edges, isolated and hot nodes, and the share of nodes that take part in an edge."""
+    e = existing_edges(edges, nodes)
+    n = nodes.join(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("linked", F.lit(True)), "id", "left")
+    out = n.agg(F.count("*").alias("nodes"), F.count_if(F.col("linked").isNull()).alias("isolated"), F.count_if("runtime_hot").alias("hot"), F.round(F.count("linked") / F.count("*"), 4).alias("participation"))
+    return out.withColumn("edges", e.agg(F.count("*")).scalar())

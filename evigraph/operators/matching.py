@@ -147,6 +147,35 @@ def decisions_for(files: DataFrame, decisions: DataFrame, top: int = 5) -> DataF
     return hits.groupBy("id").agg(F.count("*").alias("score"), F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("matched")).orderBy(F.desc("score"), "id").limit(top)
 
 
+def crowded_endpoints(entries: DataFrame, fan_in: int = 5) -> DataFrame:
+    """WIN-08: endpoints of `fan_in` entries or more."""
+    return entries.where("endpoint is not null").groupBy("endpoint").agg(F.count("*").alias("n")).where(F.col("n") >= fan_in)
+
+
+def symbol_match(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """PRJ-15: asked(symbol), names(name): (symbol, name, via): names of which the symbol is a whole part between dots; a symbol that is none anywhere
+    is looked for inside of names, from three characters on."""
+    a = asked.select("symbol", F.lower("symbol").alias("s")).distinct()
+    parts = names.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), "\\."))).alias("s")).distinct()
+    exact = a.join(parts, "s").select("symbol", "name", F.lit("exact").alias("via"))
+    rest = a.join(exact.select("symbol").distinct(), "symbol", "left_anti").where("length(s) >= 3")
+    near = contained(names.select(F.lower("name").alias("a")), rest.select(F.col("s").alias("b"))).where("contains(a, b)")
+    part = rest.join(near, rest.s == near.b).join(names.select("name", F.lower("name").alias("low")).distinct(), F.col("a") == F.col("low")).select("symbol", "name", F.lit("part").alias("via"))
+    return exact.unionByName(part)
+
+
+def regex_hits(names: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """JOIN-11: names(id, name) -> id, concept for each pattern that finds something in the name: all patterns in one pass, no join."""
+    tries = F.array(*(F.when(F.col("name").rlike(p), F.lit(k)) for k, p in patterns.items()))
+    return names.select("id", F.explode(F.filter(tries, lambda x: x.isNotNull())).alias("concept"))
+
+
+def overlapping(rows: DataFrame, items: list[str]) -> DataFrame:
+    """JOIN-13: rows(id, items: array) that share an element with a list: id, shared."""
+    both = F.size(F.array_intersect("items", F.array(*map(F.lit, items))))
+    return rows.select("id", both.cast("long").alias("shared")).where("shared > 0")
+
+
 def gateway_operations(entries: DataFrame, controllers: DataFrame, fan_in: int = 5, least: int = 6) -> DataFrame:
     """JOIN-16, WIN-08: entries(entry_id, endpoint, hint, resolved) behind an endpoint of `fan_in` or more entries, with the
     controllers(seq, class_name) that their hint names: equal names first, else the longest common part of `least` characters,

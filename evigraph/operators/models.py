@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.functions import text
 from evigraph.operators import catalog as cat
 from evigraph.operators import evidence
 
@@ -75,6 +76,13 @@ def top_per_group(entries: DataFrame, top: int = 12) -> DataFrame:
     return entries.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).select("controller", "entry_id", "criticality", "rank")
 
 
+def containers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """AGG-30: relations between containers: edges and the best confidence of each directed pair."""
+    of = lambda s: nodes.select(F.col("id").alias(s), F.coalesce(text.container_of(F.col("type"), F.lit(""), F.lit("")), F.lit("backend")).alias(f"{s}_container"))
+    e = evidence.edge_evidence(edges).join(of("src"), "src").join(of("dst"), "dst").where("src_container <> dst_container")
+    return e.groupBy(F.col("src_container").alias("src"), F.col("dst_container").alias("dst")).agg(F.count("*").alias("edges"), F.max("confidence").alias("best"))
+
+
 def policy_matrix(entries: DataFrame) -> DataFrame:
     """AGG-32: what each role may do to each entity; open entries count for PUBLIC."""
     roles = F.when(cat.is_protected(), F.col("roles")).otherwise(F.array(F.lit("PUBLIC")))

@@ -9,7 +9,7 @@ from evigraph.functions import text
 from evigraph.operators import evidence, fixpoint, models, overlays, runtime
 from evigraph.operators import catalog as cat
 from evigraph.plans.adapters import FRAMES, frame, with_frames
-from evigraph.plans.queries import CENSUS, GRAPH, LISTS, SPANS, _add, _entries, _graph, _spans
+from evigraph.plans.queries import CENSUS, GRAPH, LISTS, REC, SPANS, _add, _entries, _graph, _spans
 from evigraph.plans.scalars import made
 
 #: Frames of this module, as SQL for both engines.
@@ -154,7 +154,12 @@ def _drift(e: DataFrame, n: DataFrame) -> DataFrame:
     return overlays.drift_findings(cycles, coupling)
 
 
-_add("gra_17_drift_findings", _graph(_drift), None)
+_add(
+    "gra_17_drift_findings", _graph(_drift),
+    REC + """, cy as (select component, min(node) as id, string_agg(node, ' -> ' order by node) as detail from co group by component having count(*) >= 2 order by component limit 20), b as (select src, count(*) as b from edges where weight <= 3 group by src), a as (select src, count(*) as a from edges where weight >= 3 group by src),
+p as (select a.src, a, b, floor((a - b) * 100 / b + 0.5)::bigint as pct from a join b on a.src = b.src)
+select 'new-cycle' as subtype, 'medium' as severity, id as identifier, detail from cy union all select 'coupling-spike', 'low', src, b || ' -> ' || a || ' (+' || pct || '%)' from p where a - b >= 5 and pct >= 50""",
+)
 _FUNCTIONS = "select p_partkey as seq, 'f' || cast(p_size as varchar(20)) as file, case p_partkey % 4 when 0 then 'default' when 1 then 'C.h' || cast(p_partkey % 6 as varchar(20)) else 'h' || cast(p_partkey % 6 as varchar(20)) end as name, case when p_partkey % 5 < 2 then 'call' || cast(p_partkey as varchar(20)) end as capability from part"
 _UNIQUE = f"select file, name, min(seq) as seq, max(capability) as capability from ({_FUNCTIONS}) as f group by file, name"
 _ASKS = "select o_orderkey as ask, 'f' || cast(o_orderkey % 50 as varchar(20)) as file, 'h' || cast(o_custkey % 6 as varchar(20)) as handler from orders"

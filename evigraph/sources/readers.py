@@ -59,3 +59,12 @@ def edge_payload(spark: SparkSession, path: str, most: int = MOST_EDGES) -> Data
     if n > most:
         raise ValueError(f"{n} edges; at most {most} are taken")
     return df
+
+
+def config_payload(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """SRC-06: the rows of a payload that a configuration proves; more than `most` fail."""
+    out = edges.where("resolution = 'config'")
+    n = out.count()
+    if n > most:
+        raise ValueError(f"{n} edges; at most {most} are taken")
+    return out

@@ -15,6 +15,11 @@ def write_snapshot(df: DataFrame, path: str, run_id: str) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def write_rows(df: DataFrame, path: str) -> None:
+    """SNK-01: rows of any number in one write; Spark makes the batches."""
+    df.write.mode("append").parquet(path)
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """SNK-06: one JSON result per finding (entry_id, type, severity)."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")

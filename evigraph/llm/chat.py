@@ -10,7 +10,8 @@ asks for. Turns after the last assistant turn, or a conversation without one, gi
 that nothing is lost.
 
 Rows: a null text or role is an empty one; a null conversation id is a conversation of its own; repeated rows are turns
-like any other; an empty table gives no rows; other columns are ignored.
+like any other; turns of one number come by role, then text; texts are taken whole, whatever their length; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ passes the base rules and its host's shrunk failure rate is under the limit.
 Everything per document is computed in place on arrays; only (host, counts) are shuffled, pre-aggregated before. Windows of
 three words are compared by 64-bit hashes.
 
-Rows: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count each; an empty
-table gives no rows; other columns are ignored.
+Rows: a null or empty text has no words and fails; a null host is a host of its own, a null id stays null; repeated rows count each;
+a rate at the limit fails its host; texts are taken whole, whatever their length; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ A packet is a frame of a block: track, timestamp in milliseconds, byte range in
 Elements of unknown size end where a parent's next element begins. Frame sizes come from fixed, Xiph or EBML lacing.
 
 Rows: a null text or media is an empty one; an empty payload is stored as one frame of filling; equal payloads have
-equal stored forms (no dates, no random ids); a damaged file raises ValueError with the byte offset; other columns are
-ignored.
+equal stored forms (no dates, no random ids), so repeated rows and ties give repeated results; a null id stays null; payloads are
+stored whole, whatever their size, one in memory at a time; a damaged file raises ValueError with the byte offset; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ partial one; those of `fan_in` partitions are then merged the same way by one sm
 Memory: open windows only (open_windows x window tokens), whatever the document count. The first pass is written to the
 shared folder, so the two passes agree even if executors are lost in between.
 
-Rows: a null text is an empty one, and its only token is the end token; repeated rows are packed once each; an empty
-table gives no rows; other columns are ignored.
+Rows: a null text is an empty one, and its only token is the end token; a null id stays null; repeated rows are packed once each; of
+equally full windows the one that was opened first is taken; texts of any length are cut into windows; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

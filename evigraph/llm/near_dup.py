@@ -263,15 +263,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows of the documents that stay, all columns as they were.
 
     A row goes if the least id of its group isn't its own; of a group's rows with that id one stays, and one of the rows that
-    repeat an id and a text without words. Rows with one id but unlike texts are judged each by its own text. Rows of a null id
-    all stay.
+    repeat an id and a text without words: that whose text's hash, then whose other columns' JSON text, is the least. Rows with
+    one id but unlike texts are judged each by its own text. Rows of a null id all stay.
     """
     own = numbered(df.select(*[F.col(f"`{c}`") for c in df.columns], F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))))
     *columns, key, x = own.columns
-    verdicts = _grouped(df, id_col, text_col, **params).where("id = component").select("id", "x", "grp").distinct()
-    rest = own.join(verdicts, (F.col(key) == F.col("id")) & (F.col(x) == F.col("x")))
-    rank = F.row_number().over(Window.partitionBy("id", F.coalesce("grp", "x"), F.col("grp").isNull()).orderBy("x"))
-    first = rest.withColumn("n", rank).where("n = 1")
+    found = _grouped(df, id_col, text_col, **params).where("id = component")
+    # decided on keys alone; the texts are dealt once, by (id, x), which serves the join and the window
+    stays = found.groupBy("id", F.coalesce("grp", "x").alias("g"), F.col("grp").isNull().alias("e")).agg(F.min("x").alias("least")).select("id", "least")
+    rest = own.join(stays, (F.col(key) == F.col("id")) & (F.col(x) == F.col("least")))
+    others = F.to_json(F.struct(*[c for c, name in zip(columns, df.columns, strict=True) if name != text_col]))
+    first = rest.withColumn("n", F.row_number().over(Window.partitionBy(key, x).orderBy(others))).where("n = 1")
     return first.select(*columns).unionByName(own.where(F.col(key).isNull()).select(*columns)).toDF(*df.columns)
 
 

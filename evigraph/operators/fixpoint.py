@@ -7,21 +7,17 @@ and stops when nothing new appears. Driver state is one count per round.
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.sources.shared import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        path = context.getConf().get("spark.checkpoint.dir")
-        if not path:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-            path = "file://" + tempfile.mkdtemp(prefix="evigraph-")
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -13,18 +13,6 @@ from evigraph.operators import catalog as cat
 MOST_ITEMS, MOST_HITS = 10_000, 100
 
 
-def recent_traces(spans: DataFrame, services: list[str], hours: int = 24, limit: int = 400) -> DataFrame:
-    """SRC-04: the newest `limit` traces of each service within `hours` before the newest span; a service without any is asked again for a window
-    twice as long. A trace that several services gave counts once: trace_id, service (the first by name), last_seen."""
-    newest = spans.agg(F.max("start_ts")).scalar()
-    t = spans.where(F.col("service").isin(*services)).groupBy("service", "trace_id").agg(F.max("start_ts").alias("last_seen"))
-    t = t.withColumn("age", F.unix_timestamp(newest) - F.unix_timestamp("last_seen"))
-    first = F.min("age").over(Window.partitionBy("service")) <= hours * 3600
-    t = t.where(F.col("age") <= F.when(F.lit(True), hours * 7200)).withColumn("window", F.when(first, hours).otherwise(2 * hours) * 3600).where("age <= window")
-    w = Window.partitionBy("service").orderBy("age", "trace_id")
-    return t.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).groupBy("trace_id").agg(F.min("service").alias("service"), F.max("last_seen").alias("last_seen"))
-
-
 def payload_items(payloads: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
     """SRC-07: payloads(run_id, body: JSON of lists by kind) -> run_id, kind, name, file; a payload with more than `most` items of a kind fails."""
     item = "array<struct<name:string,file:string>>"

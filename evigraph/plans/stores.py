@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +14,7 @@ from evigraph.plans.extraction import local
 from evigraph.plans.queries import COV, CONFIRMED, GRAPH, LISTS, SEC, SPANS, _add, _entries, _graph, _spans, oracle_sql
 from evigraph.plans.scalars import made
 from evigraph.sources import readers, sinks
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder that all executors see."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-_add("src_04_recent_traces", _spans(lambda s: stores.recent_traces(s, ["backend", "gateway"], 48, 30)), SPANS + """, t as (select service, trace_id, max(start_ts) as l from spans group by service, trace_id), a as (select *, epoch((select max(start_ts) from spans))::bigint - epoch(l)::bigint as age from t), f as (select *, min(age) over (partition by service) <= 172800 as ok from a),
-w as (select *, row_number() over (partition by service order by age, trace_id) as k from f where age <= case when ok then 172800 else 345600 end) select trace_id, min(service) as service, max(l) as last_seen from w where k <= 30 group by trace_id""")
+from evigraph.sources.shared import scratch
 
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:

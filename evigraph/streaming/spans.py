@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.operators import runtime
 from evigraph.plans.adapters import FRAMES
+from evigraph.sources.shared import scratch
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +34,7 @@ def windowed(stream: DataFrame, size: str = "1 hour", late: str = "10 minutes")
 def run_available(result: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now; the last state is written to the shared folder by foreachBatch and read back."""
     spark = result.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        base = "file://" + tempfile.mkdtemp(prefix="evigraph-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{folder}/out")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evigraph.functions.source import masked
+
 #: Words that follow FROM, JOIN, INTO or UPDATE without being a table.
 NOT_TABLES = ("select", "where", "set", "values", "on", "as")
 #: How far each way of resolving a call is trusted; others have 0.5.
@@ -266,11 +268,8 @@ def is_comment(line: Column) -> Column:
 
 
 def masked_line(line: Column) -> Column:
-    """FN-19: without what follows // or /*, and with the insides of strings as blanks; null for a comment."""
-    cut = F.regexp_replace(line, "(//|/\\*).*$", "")
-    parts = F.regexp_extract_all(cut, F.lit("(\"[^\"]*\"|'[^']*'|`[^`]*`|[^\"'`]+|.)"), 1)
-    inner = lambda x: F.concat(F.left(x, F.lit(1)), F.repeat(F.lit(" "), F.length(x) - 2), F.right(x, F.lit(1)))
-    return F.when(~is_comment(line), F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[\"'`]") & (F.length(x) > 1), inner(x)).otherwise(x)), ""))
+    """FN-19: without its comments, and with the insides of strings as blanks; null for a comment. A mark inside of a string begins no comment."""
+    return F.when(~is_comment(line), masked(line, comments=False))
 
 
 def age_hours(at: Column, now: Column) -> Column:

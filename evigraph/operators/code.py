@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import text
+from evigraph.functions.source import masked
 from evigraph.operators import extract, fixpoint, runtime
 
 #: HTTP verbs of a router; citations by how sure they are.
@@ -58,52 +59,24 @@ def augmented(endpoints: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.unionByName(data).distinct()
 
 
-def router_routes(files: DataFrame) -> DataFrame:
-    """EXT-09: (path, no, http_method, endpoint, handler) of Express routes; a router's own paths lie under the prefix that a file mounts it at:
-    the mount names a variable that the file imports from the router's file. A file that nothing mounts keeps its paths."""
-    lines = extract.lines(files.where("path rlike '[.](ts|js|mjs)$'")).where(~text.is_comment(F.col("line")))
-    pattern = rf"\b\w+\.{ROUTER_VERB}\(\s*['\"`](/[^'\"`]*)['\"`]\s*,.*?(\w+)\s*\)\s*;?\s*$"
-    routes = lines.where(F.col("line").rlike(pattern)).select("path", "no", F.upper(F.regexp_extract("line", pattern, 1)).alias("http_method"), F.regexp_extract("line", pattern, 2).alias("own"), F.regexp_extract("line", pattern, 3).alias("handler"))
-    mount = r"\.use\(\s*['\"`](/[^'\"`]*)['\"`]\s*,\s*(\w+)\s*\)"
-    mounts = lines.where(F.col("line").rlike(mount)).select("path", F.regexp_extract("line", mount, 1).alias("prefix"), F.regexp_extract("line", mount, 2).alias("var"))
-    imported = r"^\s*import\s+(\w+)\s+from\s+['\"]\./([\w./-]+)['\"]"
-    imports = lines.where(F.col("line").rlike(imported)).select("path", F.regexp_extract("line", imported, 1).alias("var"), F.regexp_extract("line", imported, 2).alias("target"))
-    folder = F.regexp_replace("path", "[^/]*$", "")
-    of_file = mounts.join(imports, ["path", "var"]).select(F.concat(folder, "target").alias("module"), "prefix").groupBy("module").agg(F.min("prefix").alias("prefix"))
-    j = routes.withColumn("module", F.regexp_replace("path", "[.](ts|js|mjs)$", "")).join(of_file, "module", "left")
-    whole = F.regexp_replace(F.concat(F.coalesce("prefix", F.lit("")), "own"), "/{2,}", "/")
-    return j.select("path", "no", "http_method", F.when(F.length(whole) > 1, F.regexp_replace(whole, "/$", "")).otherwise(whole).alias("endpoint"), "handler")
-
-
-def handler_tables(files: DataFrame, tables: DataFrame) -> DataFrame:
-    """EXT-10: tables(table, variable) -> path, handler, table, access: what the body of a handler (up to the next one) reads and writes of the schema."""
-    lines = extract.lines(files.where("path rlike '[.](ts|js|mjs)$'")).where(~text.is_comment(F.col("line")))
-    w = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    named = _found("line", r"\bfunction\s+(\w+)")
-    lines = lines.withColumn("handler", F.last(named, True).over(w)).where("handler is not null")
-    touch = r"\.(from|insert|update|delete)\(\s*(\w+)\s*\)"
-    hits = lines.where(F.col("line").rlike(touch)).select("path", "handler", F.when(F.regexp_extract("line", touch, 1) == "from", "read").otherwise("write").alias("access"), F.regexp_extract("line", touch, 2).alias("variable"))
-    return hits.join(tables.select("table", "variable"), "variable").select("path", "handler", "table", "access").distinct()
-
-
 def proxies(files: DataFrame) -> DataFrame:
     """EXT-11: (path, target): files that hand requests on to another server, with the path they hand on."""
     call = r"(?:createProxyMiddleware|fetch|axios\.\w+)\([^\n]*?['\"`][^'\"`]*?(/app/[\w.]+)"
     return files.where("path rlike '[.](ts|js|mjs)$'").select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(call), 1))).alias("target"))
 
 
-def schema_tables(files: DataFrame) -> DataFrame:
-    """EXT-12: (path, variable, table, columns) of tables that a schema file declares: export const x = pgTable("name", {...})."""
-    declared = r"(?s)export\s+const\s+(\w+)\s*=\s*(?:pg|mysql|sqlite)Table\(\s*['\"](\w+)['\"]\s*,\s*\{(.*?)\n\}"
-    found = F.arrays_zip(*(F.regexp_extract_all("content", F.lit(declared), i).alias(n) for i, n in ((1, "variable"), (2, "table"), (3, "body"))))
-    d = files.select("path", F.explode(found).alias("d")).select("path", "d.*")
-    columns = F.regexp_extract_all("body", F.lit(r"(?m)^\s*\w+\s*:\s*\w+\(\s*['\"](\w+)['\"]"), 1)
-    return d.select("path", "variable", "table", F.array_join(columns, ",").alias("columns"))
+def masked_lines(lines: DataFrame) -> DataFrame:
+    """FN-19 over lines: the lines and `code`, the line as it is masked in the text of its file."""
+    others = [c for c in lines.columns if c not in ("file", "no")]
+    t = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("no", *others))).alias("l"))
+    code = F.split(masked(F.array_join(F.transform("l", lambda x: F.coalesce(F.translate(x["line"], "\n", " "), F.lit(""))), "\n")), "\n", -1)
+    return t.select("file", F.explode(F.arrays_zip(F.col("l"), code.alias("code"))).alias("x")).select("file", "x.l.*", "x.code")
 
 
 def declarations(lines: DataFrame) -> DataFrame:
-    """EXT-15: lines(file, no, line) -> file, no, kind, name: what a line of code declares, comments and the insides of strings aside."""
-    code = lines.withColumn("code", text.masked_line(F.col("line"))).where("code is not null")
+    """EXT-15: lines(file, no, line) -> file, no, kind, name: what a line of code declares, comments and the insides of strings aside, also where they reach
+    over several lines. The lines of a file are read as one text, in the order of `no`: those of one side of a hunk, if only they are known."""
+    code = masked_lines(lines).where(~text.is_comment(F.col("line"))).withColumn("code", F.rtrim("code")).where("code <> ''")
     java = F.col("file").rlike("[.](java|kt)$")
     of = lambda pattern, kind: F.when(_found("code", pattern).isNotNull(), F.struct(F.lit(kind).alias("kind"), _found("code", pattern).alias("name")))
     kinds = F.array(
@@ -183,15 +156,6 @@ def wiring(beans: DataFrame, supers: DataFrame) -> DataFrame:
     return g.where(pick.isNotNull()).select(F.col("port").alias("interface"), pick.alias("p")).select("interface", "p.*")
 
 
-def java_types(files: DataFrame) -> DataFrame:
-    """EXT-33: (fqn, kind, parent, interfaces) of the first type that a Java file declares, comments and strings aside."""
-    bare = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/|//[^\n]*", " "), r'"(?:\\.|[^"\\])*"', '""')
-    f = files.where("endswith(path, '.java')").withColumn("c", bare)
-    package, kind, name = _found("c", r"\bpackage\s+([\w.]+)\s*;"), _found("c", r"\b(class|interface|enum)\s+\w+"), _found("c", r"\b(?:class|interface|enum)\s+(\w+)")
-    listed = F.filter(F.transform(F.split(F.coalesce(_found("c", r"\bimplements\s+([^{]+)\{"), F.lit("")), ","), lambda x: F.regexp_replace(F.trim(x), "<.*$", "")), lambda x: x != "")
-    return f.where(name.isNotNull()).select(F.concat_ws(".", package, name).alias("fqn"), kind.alias("kind"), _found("c", r"\bclass\s+\w+[^{]*?\bextends\s+([\w.]+)").alias("parent"), F.array_join(listed, ",").alias("interfaces"))
-
-
 def routed_pages(routes: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """EXT-22, EXT-23: routes(path, component), imports(src, dst) -> page, kind, route: pages that a route shows (routed), files that those
     import, directly or not (reached), and Vue files that neither (orphan)."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import text
-from evigraph.operators import code, evidence, extract, matching, models, runtime, walks
+from evigraph.operators import code, evidence, extract, matching, models, runtime, spans, walks
 from evigraph.plans.adapters import FRAMES, frame, with_frames
 from evigraph.plans.queries import GRAPH, LISTS, SPANS, _add, _entries, _graph, _spans
 from evigraph.plans.scalars import made
@@ -24,22 +24,22 @@ SCHEMAS = f"""select 'server/schema' || {Z} || '.ts' as path, 'import x from "y"
 _files = lambda sql: lambda spark, d: made(spark, d, sql)
 _PREFIX = f"case when p_partkey % 3 = 0 then '/api/k' || {V} else '' end"
 _add(
-    "ext_09_router_routes", lambda spark, d: code.router_routes(made(spark, d, ROUTERS)),
+    "ext_09_router_routes", lambda spark, d: spans.routes(made(spark, d, ROUTERS)).select("path", "no", "http_method", "endpoint", "handler"),
     f"select 'server/r' || {K} || '.ts' as path, 3 as no, 'GET' as http_method, {_PREFIX} || '/items' || {O} || '/:id' as endpoint, 'find' || {Z} as handler from part union all select 'server/r' || {K} || '.ts', 4, 'POST', {_PREFIX} || '/items', 'save' || {Z} from part",
 )
 
 
 def _schema(spark: SparkSession, d: str) -> DataFrame:
-    return code.schema_tables(made(spark, d, SCHEMAS))
+    return spans.schema_tables(made(spark, d, SCHEMAS))
 
 
 _add("ext_12_schema_tables", _schema, f"select distinct 'server/schema' || {Z} || '.ts' as path, 't' || {Z} as variable, 'tab_' || {Z} as \"table\", 'id,full_name_' || {O} as columns from part")
-_add("ext_10_handler_tables", lambda spark, d: code.handler_tables(made(spark, d, ROUTERS), _schema(spark, d)), f"with t as (select distinct p_size as z from part) select 'server/r' || {K} || '.ts' as path, 'find' || {Z} as handler, 'tab_' || {V} as \"table\", 'read' as access from part where p_size % 5 in (select z from t) union all select 'server/r' || {K} || '.ts', 'save' || {Z}, 'tab_' || {V}, 'write' from part where p_size % 5 in (select z from t)")
+_add("ext_10_handler_tables", lambda spark, d: spans.handler_tables(made(spark, d, ROUTERS), _schema(spark, d)), f"with t as (select distinct p_size as z from part) select 'server/r' || {K} || '.ts' as path, 'find' || {Z} as handler, 'tab_' || {V} as \"table\", 'read' as access from part where p_size % 5 in (select z from t) union all select 'server/r' || {K} || '.ts', 'save' || {Z}, 'tab_' || {V}, 'write' from part where p_size % 5 in (select z from t)")
 _add("ext_11_proxies", lambda spark, d: code.proxies(made(spark, d, ROUTERS)), f"select 'server/r' || {K} || '.ts' as path, '/app/op' || {O} || '.v1' as target from part")
 
 
 def _routes(spark: SparkSession, d: str) -> DataFrame:
-    return code.router_routes(made(spark, d, ROUTERS))
+    return spans.routes(made(spark, d, ROUTERS))
 
 
 _add(
@@ -95,7 +95,7 @@ _add("ext_17_citations", _cited, CITED)
 _ADRNODES = "select 'N' || cast(n_nationkey as varchar(20)) as id, 'OrderBox' || cast(n_nationkey % 7 as varchar(20)) as class_name from nation"
 _add("gra_26_linked_decisions", lambda spark, d: code.linked_decisions(_cited(spark, d), made(spark, d, _ADRNODES)), f"with c as ({CITED}), n as ({_ADRNODES}) select distinct c.id, symbol, n.id as node from c join n on class_name = symbol")
 JAVA = f"""select 'J' || {K} || '.java' as path, '/* class Fake {{ */ package shop.p' || {V} || ';'{N}'// class No'{N}'public ' || case when p_size % 3 = 0 then 'interface I' || {K} || ' {{' else 'class J' || {K} || ' extends Base' || {O} || ' implements A<' || 'T>, B' || {O} || ' {{' end as content from part"""
-_add("ext_33_java_types", lambda spark, d: code.java_types(made(spark, d, JAVA)), f"select 'shop.p' || {V} || '.' || case when p_size % 3 = 0 then 'I' else 'J' end || {K} as fqn, case when p_size % 3 = 0 then 'interface' else 'class' end as kind, case when p_size % 3 <> 0 then 'Base' || {O} end as parent, case when p_size % 3 <> 0 then 'A,B' || {O} else '' end as interfaces from part")
+_add("ext_33_java_types", lambda spark, d: spans.java_types(made(spark, d, JAVA)).select("fqn", "kind", "parent", F.array_join("interfaces", ",").alias("interfaces")), f"select 'shop.p' || {V} || '.' || case when p_size % 3 = 0 then 'I' else 'J' end || {K} as fqn, case when p_size % 3 = 0 then 'interface' else 'class' end as kind, case when p_size % 3 <> 0 then 'Base' || {O} end as parent, case when p_size % 3 <> 0 then 'A,B' || {O} else '' end as interfaces from part")
 
 #: Occurrences of symbols in indexed documents; definitions are every fifth.
 OCC = "select cast(user_id as varchar(20)) as doc, 's' || cast(event_id % 23 as varchar(20)) as symbol, event_id as p, event_id % 400 as line, event_id % 5 = 0 as is_def from events"

@@ -3,7 +3,7 @@ import sys
 
 import pytest
 
-from evigraph.plans import assembly, code, extraction, overlays, scalars, stores, traces  # noqa: F401  register their queries
+from evigraph.plans import assembly, code, extraction, nested, overlays, scalars, stores, traces  # noqa: F401  register their queries
 from tests.conftest import ROOT, SF
 
 

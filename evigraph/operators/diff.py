@@ -18,14 +18,6 @@ def changed_rows(before: DataFrame, after: DataFrame, key: list[str], value: str
     return out.where("change is not null").select(*key, "change")
 
 
-def coupling_delta(before: DataFrame, after: DataFrame, top: int = 10) -> DataFrame:
-    """GRA-16, TOP-04: edges per source before and after; percent half up, null where there was nothing before."""
-    a = before.groupBy("src").agg(F.count("*").alias("before"))
-    b = after.groupBy("src").agg(F.count("*").alias("after"))
-    both = a.join(b, "src", "full_outer").na.fill(0, ["before", "after"]).withColumn("delta", F.col("after") - F.col("before")).where("delta > 0")
-    return both.withColumn("pct", F.when(F.col("before") > 0, half_up(F.col("delta") * 100 / F.col("before")))).orderBy(F.desc("delta"), "src").limit(top)
-
-
 def run_deltas(runs: DataFrame) -> DataFrame:
     """UI-06, WIN-10: each valid run beside the valid one before it."""
     w = Window.partitionBy("grp").orderBy("run_id")

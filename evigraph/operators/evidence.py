@@ -103,12 +103,6 @@ def node_corroboration(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"), F.count_distinct("method").alias("corroboration"), F.count_if(F.col("method").isin("UNKNOWN", "STATIC_UNRESOLVED")).alias("blind"), F.max("confidence").alias("strongest"))
 
 
-def fact_sheet(edges: DataFrame, nodes: DataFrame, hubs: int = 15) -> DataFrame:
-    """AGG-16, TOP-03: the hubs of the largest degree."""
-    d = degrees(edges, nodes)
-    return d.withColumn("degree", F.col("in_degree") + F.col("out_degree")).orderBy(F.desc("degree"), "id").limit(hubs)
-
-
 def isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes without any existing edge."""
     e = existing_edges(edges, nodes)
@@ -121,24 +115,6 @@ def never_called(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.where("entry_point is null").select("id", "type").join(called, "id", "left_anti")
 
 
-def blind_impact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """AGG-19: hot nodes by type, and how many of them no proven edge reaches."""
-    e = edge_evidence(existing_edges(edges, nodes)).where(F.col("method").isin("STATIC_PROVEN", "CONFIG_PROVEN")).select(F.col("dst").alias("id")).distinct()
-    hot = nodes.where("runtime_hot").select("id", "type").join(e.withColumn("reached", F.lit(True)), "id", "left")
-    return hot.groupBy("type").agg(F.count("*").alias("hot"), F.count_if(F.col("reached").isNull()).alias("blind")).withColumn("blind_ratio", F.round(F.col("blind") / F.col("hot"), 4))
-
-
-def dead_code(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """GRA-13: nodes with no proven caller by tier: isolated, runtime-refuted (never observed beside an observed sibling class), no-proven-caller."""
-    e = edge_evidence(existing_edges(edges, nodes)).where("src <> dst")
-    inbound = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"), F.count_if(F.col("method").isin(*PROVEN)).alias("n_proven"))
-    out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
-    hot = nodes.groupBy("class_key").agg(F.bool_or("runtime_hot").alias("class_hot"))
-    all_ = nodes.where("entry_point is null and not runtime_hot").join(inbound, "id", "left").join(out, "id", "left").join(hot, "class_key", "left").na.fill(0, ["n_in", "n_out", "n_proven"]).where("n_proven = 0")
-    tier = F.when((F.col("n_in") == 0) & (F.col("n_out") == 0), "isolated").when(F.col("class_hot"), "runtime-refuted").otherwise("no-proven-caller")
-    return all_.select("id", "type", tier.alias("tier")).withColumn("confidence", F.when(F.col("tier") == "isolated", 0.75).when(F.col("tier") == "runtime-refuted", 0.7).otherwise(0.4))
-
-
 def merge_overlay(edges: DataFrame, proofs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """GRA-18..20: proven edges upgrade equal ones and are added otherwise; those with unknown endpoints mint nodes.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evigraph.sources.shared import shared_dir
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
@@ -23,11 +23,11 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = 40) -> DataFrame:
     """GRA-02: (root, node, depth): nodes within max_depth steps (None: any), at their least distance; the root itself at 0."""
-    step = _cut(edges.select("src", "dst").distinct())
-    seen = frontier = _cut(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
+    step = cut(edges.select("src", "dst").distinct())
+    seen = frontier = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         found = frontier.join(step, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = _cut(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
@@ -38,12 +38,12 @@ def widest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """GRA-08: (node, width): best over all paths to a root, of the least confidence on the path; reversed edges, so callers.
 
     Rounds go on until no width rises; each writes only the widths that did."""
-    step = _cut(edges.groupBy("src", "dst").agg(F.max("confidence").alias("w")))
-    seen = changed = _cut(roots.select(F.col("id").alias("node"), F.lit(1.0).alias("width")).distinct())
+    step = cut(edges.groupBy("src", "dst").agg(F.max("confidence").alias("w")))
+    seen = changed = cut(roots.select(F.col("id").alias("node"), F.lit(1.0).alias("width")).distinct())
     while True:
         offer = changed.join(step, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), F.least("width", "w").alias("width")).groupBy("node").agg(F.max("width").alias("offer"))
         best = seen.groupBy("node").agg(F.max("width").alias("width"))
-        changed = _cut(offer.join(best, "node", "left").where("width is null or offer > width").select("node", F.col("offer").alias("width")))
+        changed = cut(offer.join(best, "node", "left").where("width is null or offer > width").select("node", F.col("offer").alias("width")))
         if not changed.take(1):
             return best
         seen = seen.unionByName(changed)
@@ -51,13 +51,13 @@ def widest(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _least_reaching(step: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches it, itself included."""
-    colours = changed = _cut(nodes.select("node", F.col("node").alias("colour")))
+    colours = changed = cut(nodes.select("node", F.col("node").alias("colour")))
     while True:
         offer = changed.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
-        changed = _cut(offer.join(colours, "node").where("offer < colour").select("node", F.col("offer").alias("colour")))
+        changed = cut(offer.join(colours, "node").where("offer < colour").select("node", F.col("offer").alias("colour")))
         if not changed.take(1):
             return colours
-        colours = _cut(colours.unionByName(changed).groupBy("node").agg(F.min("colour").alias("colour")))
+        colours = cut(colours.unionByName(changed).groupBy("node").agg(F.min("colour").alias("colour")))
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,11 +66,11 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Each turn trims nodes without a way in or out, colours the rest by the least node that reaches them, and takes the nodes that
     reach their colour's node within the colour: these are components. A round touches an edge once; no pairs of nodes arise."""
     all_ = nodes.select(F.col("id").alias("node")).distinct()
-    step = _cut(edges.where("src <> dst").select("src", "dst").distinct().join(all_.toDF("src"), "src", "left_semi").join(all_.toDF("dst"), "dst", "left_semi"))
+    step = cut(edges.where("src <> dst").select("src", "dst").distinct().join(all_.toDF("src"), "src", "left_semi").join(all_.toDF("dst"), "dst", "left_semi"))
     found = []
     while True:
         while True:
-            rest = _cut(step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            rest = cut(step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             done = rest.count() == step.count()
             step = rest
             if done:
@@ -79,12 +79,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         colours = _least_reaching(step, step.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
         side = lambda x: colours.toDF(x, f"c{x}")  # noqa: B023, E731
-        within = _cut(step.join(side("src"), "src").join(side("dst"), "dst").where("csrc = cdst").select("src", "dst"))
+        within = cut(step.join(side("src"), "src").join(side("dst"), "dst").where("csrc = cdst").select("src", "dst"))
         members = reach(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colours.where("node = colour").select(F.col("node").alias("id")), None)
-        members = _cut(members.select("node", F.col("root").alias("component")))
+        members = cut(members.select("node", F.col("root").alias("component")))
         found.append(members)
         gone = members.select("node")
-        step = _cut(step.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        step = cut(step.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
     out = all_.withColumn("component", F.lit(None).cast("string"))
     for members in found:
         out = out.join(members.withColumnRenamed("component", "c"), "node", "left").select("node", F.coalesce("component", "c").alias("component"))
@@ -94,11 +94,11 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, components: DataFrame) -> DataFrame:
     """GRA-06: (component, level): the longest path of the condensation that ends there; feedback edges lie within components."""
     side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    step = _cut(edges.join(side("src"), "src").join(side("dst"), "dst").where("csrc <> cdst").select("csrc", "cdst").distinct())
-    at = _cut(components.select("component").distinct().withColumn("level", F.lit(0)))
+    step = cut(edges.join(side("src"), "src").join(side("dst"), "dst").where("csrc <> cdst").select("csrc", "cdst").distinct())
+    at = cut(components.select("component").distinct().withColumn("level", F.lit(0)))
     while True:  # a condensation has no cycle, so levels stop rising
         up = at.join(step, F.col("component") == F.col("csrc")).groupBy(F.col("cdst").alias("component")).agg((F.max("level") + 1).alias("offer"))
-        moved = _cut(at.join(up, "component", "left").select("component", F.greatest("level", F.coalesce("offer", F.lit(0))).alias("level"), "level"))
+        moved = cut(at.join(up, "component", "left").select("component", F.greatest("level", F.coalesce("offer", F.lit(0))).alias("level"), "level"))
         changed = moved.toDF("component", "level", "was")
         at = changed.select("component", "level")
         if not changed.where("level > was").take(1):
@@ -107,11 +107,11 @@ def levels(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, capabilities: DataFrame) -> DataFrame:
     """GRA-09: (node, capability): what a node has itself or calls, directly or not; callee to caller."""
-    step = _cut(edges.select("src", "dst").distinct())
-    have = frontier = _cut(capabilities.select("node", "capability").distinct())
+    step = cut(edges.select("src", "dst").distinct())
+    have = frontier = cut(capabilities.select("node", "capability").distinct())
     while True:
         found = frontier.join(step, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "capability").distinct()
-        frontier = _cut(found.join(have, ["node", "capability"], "left_anti"))
+        frontier = cut(found.join(have, ["node", "capability"], "left_anti"))
         if not frontier.take(1):
             return have
         have = have.unionByName(frontier)

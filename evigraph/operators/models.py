@@ -44,11 +44,6 @@ def churn_entropy(changes: DataFrame) -> DataFrame:
     return sums.select("grp", "changes", "files", F.when(F.col("files") < 2, 0.0).otherwise(F.round(h, 4)).alias("entropy"))
 
 
-def hot_symbols(edges: DataFrame, top: int = 5) -> DataFrame:
-    """AGG-22: targets with most distinct callers."""
-    return edges.where("rel = 'CALLS'").groupBy("dst").agg(F.count_distinct("src").alias("callers")).orderBy(F.desc("callers"), "dst").limit(top)
-
-
 def confirmations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """JOIN-15, AGG-26: static edges by method, and how many of their pairs were observed."""
     e = evidence.edge_evidence(evidence.existing_edges(edges, nodes))

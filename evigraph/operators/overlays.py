@@ -181,14 +181,6 @@ def with_overlays(edges: DataFrame, nodes: DataFrame, calls: DataFrame | None =
     return out
 
 
-def drift_findings(cycles: DataFrame, coupling: DataFrame, most: int = 20) -> DataFrame:
-    """GRA-17: cycles(component, members: array), coupling(src, before, after, pct) -> subtype, severity, identifier, detail: new cycles between
-    services (the first `most`), and dependents that rose by 5 or more and by half or more."""
-    c = cycles.orderBy("component").limit(most).select(F.lit("new-cycle").alias("subtype"), F.lit("medium").alias("severity"), F.get("members", 0).alias("identifier"), F.array_join("members", " -> ").alias("detail"))
-    d = coupling.where("after - before >= 5 and pct >= 50")
-    return c.unionByName(d.select(F.lit("coupling-spike").alias("subtype"), F.lit("low").alias("severity"), F.col("src").alias("identifier"), F.concat("before", F.lit(" -> "), "after", F.lit(" (+"), "pct", F.lit("%)")).alias("detail")))
-
-
 def capability_lookup(asks: DataFrame, functions: DataFrame, calls: DataFrame, bindings: DataFrame, depth: int = 5) -> DataFrame:
     """GRA-28: asks(ask, file, handler), functions(file, name, seq, capability: null if none), calls(src_file, src_name, dst_file, dst_name),
     bindings(file, handler, source, original) -> ask, tier, capability; the first tier that has one: 1 the function itself, 2 what its
@@ -269,28 +261,6 @@ def use_case_domains(routes: DataFrame, most: int = 8) -> DataFrame:
     return routes.groupBy("domain").agg(F.count_distinct("endpoint").alias("endpoints")).orderBy(F.desc("endpoints"), "domain").limit(most)
 
 
-def communities(edges: DataFrame, nodes: DataFrame, hub_share: float = 0.99, least: int = 4, rounds: int = 5) -> DataFrame:
-    """GRA-15: (id, domain): label propagation over undirected edges without hubs (nodes above the quantile `hub_share` of the degree). A node
-    takes the label that most neighbours have, the least on ties; domains of fewer than `least` nodes are no domain (null).
-
-    A round is one join and two aggregations; labels are a table."""
-    from evigraph.operators.fixpoint import _cut
-
-    both = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.*").distinct()
-    degree = both.groupBy("a").agg(F.count("*").alias("d"))
-    cap = degree.agg(F.percentile("d", F.lit(hub_share))).scalar()
-    calm = _cut(degree.where(F.col("d") <= cap).select("a"))
-    links = _cut(both.join(calm, "a", "left_semi").join(calm.toDF("b"), "b", "left_semi"))
-    labels = calm.select(F.col("a").alias("id"), F.col("a").alias("label"))
-    for _ in range(rounds):
-        votes = links.join(labels, links.b == labels.id).groupBy("a", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("a").alias("id")).agg(F.min_by("label", F.struct((-F.col("n")).alias("k"), "label")).alias("new"))
-        labels = _cut(labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    named = labels.join(sizes, "label").select("id", F.when(F.col("n") >= least, F.col("label")).alias("domain"))
-    return nodes.select("id").join(named, "id", "left")
-
-
 def seams(edges: DataFrame, domains: DataFrame) -> DataFrame:
     """UI-05: directed pairs of different domains(id, domain) with their edges, by method."""
     d = domains.where("domain is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import text
-from evigraph.operators import evidence, fixpoint, models, overlays, runtime
+from evigraph.operators import domains, evidence, fixpoint, models, overlays, runtime
 from evigraph.operators import catalog as cat
 from evigraph.plans.adapters import FRAMES, frame, with_frames
 from evigraph.plans.queries import CENSUS, GRAPH, LISTS, REC, SPANS, _add, _entries, _graph, _spans
@@ -145,21 +145,8 @@ select coalesce(o2.src, cc.src) as src, coalesce(o2.dst, cc.dst) as dst, coalesc
 )
 
 
-def _drift(e: DataFrame, n: DataFrame) -> DataFrame:
-    ce = evidence.class_edges(e, n)
-    parts = fixpoint.strong_components(ce, n.select(F.col("class_key").alias("id")).distinct())
-    cycles = parts.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members")).where(F.size("members") >= 2)
-    before, after = (e.where(w).groupBy("src").agg(F.count("*").alias(name)) for w, name in (("weight <= 3", "before"), ("weight >= 3", "after")))
-    coupling = before.join(after, "src").withColumn("pct", F.floor((F.col("after") - F.col("before")) * 100 / F.col("before") + 0.5))
-    return overlays.drift_findings(cycles, coupling)
 
 
-_add(
-    "gra_17_drift_findings", _graph(_drift),
-    REC + """, cy as (select component, min(node) as id, string_agg(node, ' -> ' order by node) as detail from co group by component having count(*) >= 2 order by component limit 20), b as (select src, count(*) as b from edges where weight <= 3 group by src), a as (select src, count(*) as a from edges where weight >= 3 group by src),
-p as (select a.src, a, b, floor((a - b) * 100 / b + 0.5)::bigint as pct from a join b on a.src = b.src)
-select 'new-cycle' as subtype, 'medium' as severity, id as identifier, detail from cy union all select 'coupling-spike', 'low', src, b || ' -> ' || a || ' (+' || pct || '%)' from p where a - b >= 5 and pct >= 50""",
-)
 _FUNCTIONS = "select p_partkey as seq, 'f' || cast(p_size as varchar(20)) as file, case p_partkey % 4 when 0 then 'default' when 1 then 'C.h' || cast(p_partkey % 6 as varchar(20)) else 'h' || cast(p_partkey % 6 as varchar(20)) end as name, case when p_partkey % 5 < 2 then 'call' || cast(p_partkey as varchar(20)) end as capability from part"
 _UNIQUE = f"select file, name, min(seq) as seq, max(capability) as capability from ({_FUNCTIONS}) as f group by file, name"
 _ASKS = "select o_orderkey as ask, 'f' || cast(o_orderkey % 50 as varchar(20)) as file, 'h' || cast(o_custkey % 6 as varchar(20)) as handler from orders"
@@ -213,7 +200,7 @@ _add(
 select s as src, d as dst, count(*) as edges from ce where s in (select k from tp) and d in (select k from tp) group by s, d""",
 )
 _add("agg_31_use_cases", _entries(lambda e: overlays.use_case_domains(e.select(text.route_domain(F.col("endpoint"), F.lit("")).alias("domain"), "endpoint"))), LISTS + " select string_split(endpoint, '/')[4] as domain, count(distinct endpoint) as endpoints from c group by 1 order by endpoints desc, domain limit 8")
-_add("gra_15_communities", _graph(lambda e, n: overlays.communities(*_CLASSES(e, n))), None)
+_add("gra_15_communities", _graph(lambda e, n: domains.detect(*_CLASSES(e, n)).select("id", "domain")), None)
 _add("ui_03_insights", _graph(overlays.insights), GRAPH + " select (select count(*) from nodes) as nodes, (select count(*) filter (where runtime_hot) from nodes) as hot, (select count(distinct type) from nodes) as types, count(*) as edges, count(*) filter (where m in ('UNKNOWN', 'STATIC_UNRESOLVED')) as blind, count(*) filter (where m = 'RUNTIME_OBSERVED') as observed, round(count(*) filter (where m in ('UNKNOWN', 'STATIC_UNRESOLVED')) / count(*), 4) as blind_share from em")
 _add("ui_03_hottest_edges", _graph(overlays.hottest_edges), GRAPH + " select src, dst, rel, sum(weight)::bigint as count from ex where observed group by src, dst, rel order by count desc, src, dst, rel limit 10")
 _add(

@@ -91,24 +91,8 @@ _add(
     GRAPH + ", t as (select src as id, m from em union all select dst, m from em) select id, count(*) as degree from t group by id having bool_and(m in ('UNKNOWN', 'STATIC_UNRESOLVED')) order by degree desc, id limit 8",
 )
 DEG = ", t as (select src as id, 0 as i, 1 as o from ex union all select dst, 1, 0 from ex), g as (select nodes.id, coalesce(sum(i), 0)::bigint as in_degree, coalesce(sum(o), 0)::bigint as out_degree from nodes left join t on nodes.id = t.id group by nodes.id)"
-_add("top_03_hubs", _graph(evidence.fact_sheet), GRAPH + DEG + " select *, in_degree + out_degree as degree from g order by degree desc, id limit 15")
 _add("agg_16_isolated", _graph(evidence.isolated), GRAPH + " select id, type from nodes where id not in (select src from ex) and id not in (select dst from ex)")
 _add("join_04_never_called", _graph(evidence.never_called), GRAPH + " select id, type from nodes where entry_point is null and id not in (select dst from edges where rel = 'CALLS')")
-_add(
-    "agg_19_blind_impact",
-    _graph(evidence.blind_impact),
-    GRAPH + ", r as (select distinct dst from em where m in ('STATIC_PROVEN', 'CONFIG_PROVEN')) select type, count(*) as hot, count(*) filter (where r.dst is null) as blind, round(count(*) filter (where r.dst is null) / count(*), 4) as blind_ratio from nodes left join r on id = r.dst where runtime_hot group by type",
-)
-_add(
-    "gra_13_dead_code",
-    _graph(evidence.dead_code),
-    GRAPH
-    + """, i as (select dst as id, count(*) as n_in, count(*) filter (where m in ('RUNTIME_OBSERVED', 'STATIC_PROVEN', 'CONFIG_PROVEN')) as n_proven from em where src <> dst group by dst),
-o as (select src as id, count(*) as n_out from em where src <> dst group by src), h as (select class_key, bool_or(runtime_hot) as class_hot from nodes group by class_key),
-x as (select n.id, type, case when coalesce(n_in, 0) = 0 and coalesce(n_out, 0) = 0 then 'isolated' when class_hot then 'runtime-refuted' else 'no-proven-caller' end as tier
-  from nodes n left join i on n.id = i.id left join o on n.id = o.id join h on n.class_key = h.class_key where entry_point is null and not runtime_hot and coalesce(n_proven, 0) = 0)
-select *, case tier when 'isolated' then 0.75::double when 'runtime-refuted' then 0.7::double else 0.4::double end as confidence from x""",
-)
 
 
 def _overlay(e: DataFrame, n: DataFrame) -> DataFrame:
@@ -189,14 +173,6 @@ _add(
     "with recursive " + (GRAPH + CLASS)[5:] + """, r(node) as (select distinct class_key from nodes where sensitive union select src from r join cls on dst = node) select node, 'sensitive' as capability from r""",
 )
 
-_add(
-    "gra_16_coupling_delta",
-    _graph(lambda e, n: diff.coupling_delta(e.where("weight <= 3"), e.where("weight >= 3"))),
-    with_frames("edges")
-    + """, a as (select src, count(*) as b from edges where weight <= 3 group by src), c as (select src, count(*) as f from edges where weight >= 3 group by src),
-j as (select coalesce(a.src, c.src) as src, coalesce(b, 0) as before, coalesce(f, 0) as after from a full outer join c on a.src = c.src)
-select *, after - before as delta, case when before > 0 then floor((after - before) * 100 / before + 0.5)::bigint end as pct from j where after > before order by delta desc, src limit 10""",
-)
 _add(
     "imp_06_edge_diff",
     _graph(lambda e, n: diff.changed_rows(evidence.first_wins(e.where("weight <= 4")), evidence.first_wins(e.where("weight >= 3")), ["src", "dst", "rel"], "resolution")),
@@ -347,7 +323,6 @@ _add(
     lambda spark, d: models.churn_entropy(frame(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("grp"), F.col("l_suppkey").alias("file"))),
     "with p as (select l_orderkey % 50 as grp, l_suppkey as file, count(*) as n from lineitem group by all), s as (select grp, sum(n)::bigint as changes, count(*) as files, sum(n * log2(n)) as s from p group by grp) select grp, changes, files, case when files < 2 then 0.0 else round((log2(changes) - s / changes) / log2(files), 4) end as entropy from s",
 )
-_add("agg_22_hot_symbols", _graph(lambda e, n: models.hot_symbols(e)), with_frames("edges") + " select dst, count(distinct src) as callers from edges where rel = 'CALLS' group by dst order by callers desc, dst limit 5")
 CONFIRMED = GRAPH + ", o as (select distinct src, dst from em where observed), s as (select distinct src, dst, m from em where not observed) select m as method, count(*) as pairs, count(o.src) as confirmed, round(count(o.src) / count(*), 4) as rate from s left join o on s.src = o.src and s.dst = o.dst group by m"
 _add("join_15_confirmations", _graph(models.confirmations), CONFIRMED)
 _add("agg_23_reliability", _graph(models.reliability))

@@ -123,8 +123,6 @@ _add("win_07_refined_routes", lambda spark, d: stores.refined_routes(made(spark,
 _add("win_09_first_wins", lambda spark, d: frame(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order")), "select o_custkey, arg_min(o_orderkey, row(o_orderdate, o_orderkey)) as first_order from orders group by o_custkey")
 _add("win_10_previous_valid", lambda spark, d: diff.run_deltas(frame(spark, d, "runs").withColumn("grp", F.expr("run_id % 3"))).select("grp", "run_id", "d_edges"), with_frames("runs") + ", v as (select *, run_id % 3 as grp from runs where valid) select grp, run_id, edges - lag(edges) over (partition by grp order by run_id) as d_edges from v")
 _add("top_02_exposures", _entries(stores.exposures_by_rank), LISTS + ", x as (select entry_id, case when not p then 'none' when len(list_filter(roles, lambda x: x <> 'AUTHENTICATED')) = 0 then 'auth-only' else 'permission' end as guard, criticality, endpoint from c where len(fields) > 0) select * from x order by case guard when 'none' then 0 when 'auth-only' then 1 else 2 end, criticality desc, endpoint, entry_id limit 50")
-_add("top_04_coupling", _graph(lambda e, n: diff.coupling_delta(e.where("weight <= 2"), e.where("weight >= 2"))), with_frames("edges") + ", a as (select src, count(*) as b from edges where weight <= 2 group by src), c as (select src, count(*) as f from edges where weight >= 2 group by src), j as (select coalesce(a.src, c.src) as src, coalesce(b, 0) as before, coalesce(f, 0) as after from a full outer join c on a.src = c.src) select *, after - before as delta, case when before > 0 then floor((after - before) * 100 / before + 0.5)::bigint end as pct from j where after > before order by delta desc, src limit 10")
-_add("top_05_dead_code", _graph(lambda e, n: evidence.dead_code(e, n).orderBy(F.desc("confidence"), "id").limit(20).select("id", "confidence")), f"with q as ({oracle_sql()['gra_13_dead_code']}) select id, confidence from q order by confidence desc, id limit 20")
 _add("top_06_by_criticality", _entries(lambda e: e.orderBy(F.desc("criticality"), "entry_id").limit(100).select("entry_id", "criticality")), LISTS + " select entry_id, criticality from c order by criticality desc, entry_id limit 100")
 _add("set_05_edge_keys", _graph(lambda e, n: e.where("weight <= 4").select("src", "dst", "rel").distinct().join(e.where("weight >= 3").select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti")), with_frames("edges") + " select distinct src, dst, rel from edges where weight <= 4 except select src, dst, rel from edges where weight >= 3")
 _add("agg_16_fact_sheet", _graph(evidence.facts), GRAPH + ", t as (select src as id from ex union select dst from ex) select (select count(*) from nodes) as nodes, (select count(*) from ex) as edges, (select count(*) from nodes where id not in (select id from t)) as isolated, (select count(*) from nodes where runtime_hot) as hot, round((select count(*) from nodes where id in (select id from t)) / (select count(*) from nodes), 4) as participation")

@@ -1,12 +1,12 @@
 from evigraph.functions import sql
-from evigraph.operators import assembly, code, fixpoint, overlays, runtime, stores
+from evigraph.operators import assembly, code, domains, fixpoint, overlays, runtime, stores
 
 
 def test_communities_are_the_dense_parts(spark):
     rows = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(5) for j in range(i)] + [("a0", "b0"), ("c0", "c1")]
     edges = spark.createDataFrame(rows, "src string, dst string")
     nodes = spark.createDataFrame([(x,) for x in sorted({v for r in rows for v in r} | {"alone"})], "id string")
-    got = {r["id"]: r["domain"] for r in overlays.communities(edges, nodes, hub_share=1.0).collect()}
+    got = {r["id"]: r["domain"] for r in domains.detect(edges, nodes, hub_share=1.0).collect()}
     assert len({got[f"a{i}"] for i in range(5)}) == 1 and len({got[f"b{i}"] for i in range(5)}) == 1 and got["a1"] != got["b1"]
     assert got["c0"] is None and got["alone"] is None
 

@@ -37,6 +37,18 @@ def edge_evidence(edges: DataFrame) -> DataFrame:
     return edges.withColumn("method", edge_method()).withColumn("confidence", confidence_of(F.col("method")))
 
 
+def from_metadata(edges: DataFrame) -> DataFrame:
+    """FN-30: edges(src, dst, rel, metadata: JSON text) -> resolution, synthetic, observed, config_proven, count, refuted (subtype) as edge_method() reads them,
+    and broken: metadata that is there and no JSON. A field that is missing, of another type or in broken metadata is null."""
+    v = F.try_parse_json("metadata")
+    field = lambda path, kind: F.try_variant_get("_v", path, kind)
+    e = edges.withColumn("_v", v)
+    return e.select(
+        "src", "dst", "rel", field("$.resolution", "string").alias("resolution"), *[field(f"$.{k}", "boolean").alias(n) for k, n in (("synthetic", "synthetic"), ("observed", "observed"), ("configProven", "config_proven"))],
+        field("$.count", "bigint").alias("count"), field("$.refutation.subtype", "string").alias("refuted"), (F.col("metadata").isNotNull() & F.col("_v").isNull()).alias("broken"),
+    )
+
+
 def existing_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """JOIN-01: edges with both endpoints among the nodes; self loops stay."""
     ids = nodes.select("id").distinct()

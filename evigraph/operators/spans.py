@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.source import line_at, masked, without_generics
 from evigraph.operators import runtime
+from evigraph.operators.fixpoint import cut
 
 #: Beyond every position.
 FAR = (1 << 31) - 2
@@ -92,11 +93,16 @@ def _word(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, rf"^\s*({NAME})\s*$", 1), F.lit(""))
 
 
-def route_calls(files: DataFrame) -> DataFrame:
+def script_groups(files: DataFrame) -> DataFrame:
+    """groups() of the scripts among the files, as a table, since several operators look into them."""
+    return cut(groups(files.where(SCRIPT)))
+
+
+def route_calls(files: DataFrame, spans: DataFrame) -> DataFrame:
     """path, start, end, no, receiver, verb, args: calls of a router's verbs and of use(), over any number of lines."""
     call = rf"({NAME})\s*\.\s*([a-z]+)\s*$"
     f = files.where(SCRIPT).where(F.col("content").rlike(r"\bexpress\b|\bRouter\b|\.\s*use\s*\("))
-    g = groups(f).where("opened = '('").withColumns({"receiver": F.regexp_extract("head", call, 1), "verb": F.regexp_extract("head", call, 2)}).where(F.col("verb").isin("use", *VERBS))
+    g = spans.join(f.select("path"), "path", "left_semi").where("opened = '('").withColumns({"receiver": F.regexp_extract("head", call, 1), "verb": F.regexp_extract("head", call, 2)}).where(F.col("verb").isin("use", *VERBS))
     g = g.withColumn("at", F.col("start") - F.length(F.regexp_extract("head", call, 0)))
     return sliced(f, g.select("path", "start", "end", "at", "receiver", "verb", "parts"), {"args": ("parts", False), "code": ("parts", True)}, {"no": "at"})
 
@@ -121,11 +127,11 @@ def imported_prefixes(files: DataFrame, mounted: DataFrame) -> DataFrame:
     return i.join(mounted, ["path", "receiver"]).groupBy(module.alias("module")).agg(F.min("prefix").alias("far"))
 
 
-def guards(files: DataFrame, calls: DataFrame) -> DataFrame:
+def guards(files: DataFrame, spans: DataFrame, calls: DataFrame) -> DataFrame:
     """path, start (of the route's call), roles, expression: of the guard calls anywhere among a route's arguments the first one, in the order of the
     list, that names roles."""
     head = rf"\b({'|'.join(GUARDS)})\s*$"
-    g = groups(files.where(SCRIPT)).where("opened = '('").withColumn("guard", F.regexp_extract("head", head, 1)).where("guard <> ''")
+    g = spans.where("opened = '('").withColumn("guard", F.regexp_extract("head", head, 1)).where("guard <> ''")
     g = g.select("path", F.col("start").alias("p"), "guard", F.struct((F.col("start") + 1).alias("start"), (F.col("end") - F.col("start") - 1).alias("length")).alias("inner"))
     g = sliced(files, g, {"text": ("inner", False)})
     ranges = calls.select(F.col("path").alias("doc"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.col("start").cast("string").alias("name"))
@@ -136,39 +142,38 @@ def guards(files: DataFrame, calls: DataFrame) -> DataFrame:
     return first.groupBy("path", "start").agg(F.min_by(told, "rank").alias("t")).select("path", "start", "t.*")
 
 
-def routes(files: DataFrame) -> DataFrame:
+def routes(files: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """EXT-09: path, no, start, end, http_method, endpoint, router, roles, expression, handler (a name, null for one written in place).
 
     A route is a verb of a variable that holds a router, with its path as first argument. Its own paths lie under the prefix at which its file
     mounts the variable, else under that at which a file that imports the router mounts it."""
-    calls = route_calls(files)
+    spans = script_groups(files) if spans is None else spans
+    calls = cut(route_calls(files, spans))
     r = calls.join(routers(files), ["path", "receiver"])
     mounted = mounts(files, calls)
     own = r.where("verb <> 'use'").withColumn("own", F.regexp_extract(F.col("args")[0], r"^\s*['\"`]([^'\"`]*)['\"`]\s*$", 1)).where(F.col("args")[0].rlike(r"^\s*['\"`][^'\"`]*['\"`]\s*$"))
     j = own.join(mounted, ["path", "receiver"], "left").withColumn("module", F.regexp_replace("path", "[.](ts|js|mjs)$", "")).join(imported_prefixes(files, mounted), "module", "left")
     whole = F.regexp_replace(F.concat(F.coalesce("prefix", "far", F.lit("")), F.lit("/"), "own"), "/{2,}", "/")
     endpoint = F.when(F.length(whole) > 1, F.regexp_replace(whole, "/$", "")).otherwise(whole)
-    j = j.join(guards(files, own), ["path", "start"], "left")
+    j = j.join(guards(files, spans, own), ["path", "start"], "left")
     bare = [F.when(F.array_join("code", ",").rlike(rf"\b{g}\b"), F.struct(F.array(F.lit(role)).alias("roles"), F.lit(g).alias("expression"))) for g, role in BARE_GUARDS.items()]
     j = j.withColumn("bare", F.coalesce(*bare))
     handler = F.when(F.size("args") > 1, _word(F.element_at("code", -1)))
     return j.select("path", "no", "start", "end", F.upper("verb").alias("http_method"), endpoint.alias("endpoint"), F.col("receiver").alias("router"), F.coalesce("roles", "bare.roles", F.array().cast("array<string>")).alias("roles"), F.coalesce("expression", "bare.expression").alias("expression"), handler.alias("handler"))
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """path, name, start, end: bodies of named functions and of arrow functions that a constant holds."""
-    g = groups(files.where(SCRIPT))
+def functions(g: DataFrame) -> DataFrame:
+    """path, name, start, end: bodies of named functions and of arrow functions that a constant holds. g: script_groups()."""
     named = F.coalesce(F.nullif(F.regexp_extract("head", rf"\bfunction\s*\*?\s*({NAME})\s*$", 1), F.lit("")), F.nullif(F.regexp_extract("head", rf"\b(?:const|let|var)\s+({NAME})\s*=\s*(?:async\s*)?$", 1), F.lit("")))
     heads = g.where("opened = '('").withColumn("name", named).where("name is not null and after is not null").select("path", "level", F.col("after").alias("start"), "name")
     return heads.join(g.where("opened = '{'").select("path", "level", "start", "end"), ["path", "level", "start"]).select("path", "name", "start", "end")
 
 
-def touches(files: DataFrame, tables: DataFrame) -> DataFrame:
+def touches(files: DataFrame, spans: DataFrame, tables: DataFrame) -> DataFrame:
     """path, p, table, access: places that read or write a table of a schema (tables: table, variable)."""
     call = r"\.\s*(from|insert|update|delete)\s*$"
-    f = files.where(SCRIPT)
-    g = groups(f).where("opened = '(' and size(parts) = 1").withColumn("how", F.regexp_extract("head", call, 1)).where("how <> ''")
-    t = sliced(f, g.select("path", F.col("start").alias("p"), "how", "parts"), {"args": ("parts", True)}).withColumn("variable", _word(F.col("args")[0])).where("variable is not null")
+    g = spans.where("opened = '(' and size(parts) = 1").withColumn("how", F.regexp_extract("head", call, 1)).where("how <> ''")
+    t = sliced(files, g.select("path", F.col("start").alias("p"), "how", "parts"), {"args": ("parts", True)}).withColumn("variable", _word(F.col("args")[0])).where("variable is not null")
     return t.join(tables.select("table", "variable"), "variable").select("path", "p", "table", F.when(F.col("how") == "from", "read").otherwise("write").alias("access"))
 
 
@@ -177,17 +182,19 @@ def _held_by(found: DataFrame, units: DataFrame) -> DataFrame:
     return found.join(at.select(F.col("doc").alias("path"), "p", "name"), ["path", "p"])
 
 
-def handler_tables(files: DataFrame, tables: DataFrame) -> DataFrame:
+def handler_tables(files: DataFrame, tables: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """EXT-10: path, handler, table, access: what the body of a named function touches, by the innermost function around it."""
-    return _held_by(touches(files, tables), functions(files)).select("path", F.col("name").alias("handler"), "table", "access").distinct()
+    spans = script_groups(files) if spans is None else spans
+    return _held_by(touches(files, spans, tables), functions(spans)).select("path", F.col("name").alias("handler"), "table", "access").distinct()
 
 
 def route_tables(files: DataFrame, tables: DataFrame) -> DataFrame:
     """EXT-10: path, no, http_method, endpoint, table, access: what a route touches in place, or in the function of its file that it names."""
-    r = routes(files)
-    found = touches(files, tables)
+    spans = script_groups(files)
+    r = cut(routes(files, spans))
+    found = cut(touches(files, spans, tables))
     inline = _held_by(found, r.select("path", "start", "end", F.col("start").cast("string").alias("name"))).select("path", F.col("name").cast("int").alias("start"), "table", "access").join(r, ["path", "start"])
-    called = r.where("handler is not null").join(handler_tables(files, tables), ["path", "handler"])
+    called = r.where("handler is not null").join(handler_tables(files, tables, spans), ["path", "handler"])
     columns = ["path", "no", "http_method", "endpoint", "table", "access"]
     return inline.select(columns).unionByName(called.select(columns)).distinct()
 
@@ -195,7 +202,7 @@ def route_tables(files: DataFrame, tables: DataFrame) -> DataFrame:
 def schema_tables(files: DataFrame) -> DataFrame:
     """EXT-12: path, variable, table, columns of the tables that a schema file declares, however nested the columns' definitions are."""
     declared = rf"\bconst\s+({NAME})\s*(?::[^=]+)?=\s*(?:pg|mysql|sqlite)Table\s*$"
-    g = groups(files.where(SCRIPT))
+    g = script_groups(files)
     t = g.where("opened = '('").withColumn("variable", F.regexp_extract("head", declared, 1)).where("variable <> '' and size(parts) > 1")
     t = t.select("path", "variable", "start", "end", "level", F.col("parts")[0].alias("first"))
     braces = g.where("opened = '{'").select("path", F.col("start").alias("p"), "level", "parts")

@@ -126,7 +126,7 @@ select root, node, min(depth) as depth from r group by root, node""",
 )
 _add(
     "gra_07_reach_count",
-    _graph(lambda e, n: fixpoint.reach(e.where("rel = 'CALLS'"), _roots(n)).groupBy("root").agg((F.count("*") - 1).alias("reached"))),
+    _graph(lambda e, n: fixpoint.reach_counts(e.where("rel = 'CALLS'"), _roots(n))),
     """with recursive """ + with_frames("nodes", "edges")[5:] + """, st as (select distinct src, dst from edges where rel = 'CALLS'),
 r(root, node) as (select id, id from nodes where type = 'VIEW' union select root, dst from r join st on node = src)
 select root, count(*) - 1 as reached from r group by root""",
@@ -362,7 +362,7 @@ _add(
 )
 _add(
     "gra_14_runtime_gap",
-    _graph(lambda e, n: fixpoint.reach(e.where("rel = 'CALLS'"), _roots(n.where("not runtime_hot"))).groupBy("root").agg((F.count("*") - 1).alias("reach")).orderBy(F.desc("reach"), "root").limit(25)),
+    _graph(lambda e, n: fixpoint.reach_counts(e.where("rel = 'CALLS'"), _roots(n.where("not runtime_hot"))).withColumnRenamed("reached", "reach").orderBy(F.desc("reach"), "root").limit(25)),
     "with recursive " + with_frames("nodes", "edges")[5:] + ", st as (select distinct src, dst from edges where rel = 'CALLS'), r(root, node) as (select id, id from nodes where type = 'VIEW' and not runtime_hot union select root, dst from r join st on node = src) select root, count(*) - 1 as reach from r group by root order by reach desc, root limit 25",
 )
 _add("str_02_stream_table_hits", lambda spark, d: streams.run_available(streams.table_hits(streams.spans(streams.events(spark, d)))).drop("last_seen"), SPANS + " select table_name, count(*) as hits from spans where table_name is not null group by table_name")

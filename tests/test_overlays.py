@@ -1,3 +1,5 @@
+import random
+
 from evigraph.functions import sql
 from evigraph.operators import assembly, code, domains, fixpoint, overlays, runtime, stores
 
@@ -72,3 +74,25 @@ def test_ambiguous_wiring_is_left_out(spark):
     beans = [("I", "A", False, False), ("I", "B", False, False), ("J", "A", False, False), ("K", "A", False, True), ("L", "A", False, False), ("L", "B", True, False)]
     got = {r["interface"]: (r["concrete"], r["reason"]) for r in code.wiring(spark.createDataFrame(beans, "interface string, concrete string, is_primary boolean, opaque boolean"), spark.createDataFrame([], "cls string, parent string")).collect()}
     assert got == {"J": ("A", "single"), "L": ("B", "primary")}
+
+
+def test_reach_counts_equal_a_plain_walk(spark):
+    """Circles, diamonds, loops, nodes that no root reaches, and roots without edges."""
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(140)] + [("a", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "n1")]
+    roots = ["a", "b", "alone", *[f"n{i}" for i in range(0, 90, 3)]]
+    out = {}
+    for s, d in rows:
+        out.setdefault(s, set()).add(d)
+
+    def walk(root):
+        seen, todo = {root}, [root]
+        while todo:
+            for x in out.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return len(seen) - 1
+
+    got = fixpoint.reach_counts(spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([(r,) for r in roots], "id string"))
+    assert {r["root"]: r["reached"] for r in got.collect()} == {r: walk(r) for r in roots}

@@ -86,19 +86,19 @@ def declarations(lines: DataFrame) -> DataFrame:
     return code.select("file", "no", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("d")).select("file", "no", "d.*")
 
 
-def decision_index(records: DataFrame) -> DataFrame:
-    """EXT-16: records(path, content) -> id, title, status, symbols of decision records named NNNN-...md."""
-    r = records.withColumn("id", _found("path", r"(\d{4})-[^/]*\.md$")).where("id is not null")
-    return r.select("id", _found("content", r"(?m)^#\s+(.+?)\s*$").alias("title"), F.lower(_found("content", r"(?mi)^status:\s*(\w+)")).alias("status"), F.array_join(F.array_sort(text.strong_symbols(F.col("content"))), ",").alias("symbols"))
+def decision_index(records: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """EXT-16: records(path, content) -> id, title, status, symbols of decision records named NNNN-...md (four digits or more)."""
+    r = records.withColumn("id", _found("path", r"(?<!\d)(\d{4,})-[^/]*\.md$")).where("id is not null")
+    return r.select("id", _found("content", r"(?m)^#\s+(.+?)\s*$").alias("title"), F.lower(_found("content", r"(?mi)^status:\s*(\w+)")).alias("status"), F.array_join(F.array_sort(text.strong_symbols(F.col("content"), stopwords)), ",").alias("symbols"))
 
 
-def citations(records: DataFrame, most: int = 200) -> DataFrame:
+def citations(records: DataFrame, most: int = 200, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """EXT-17: (id, symbol, citation, no): what a record cites: a file's name, a name in backticks, or a strong name in its prose; of a symbol
     the surest citation, then its first line; at most `most` of a record, the first ones by line."""
-    lines = records.withColumn("id", _found("path", r"(\d{4})-[^/]*\.md$")).where("id is not null").select("id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    lines = records.withColumn("id", _found("path", r"(?<!\d)(\d{4,})-[^/]*\.md$")).where("id is not null").select("id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
     bare = F.regexp_replace("line", "`[^`]*`", " ")
     named = lambda rank, values: F.transform(values, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("symbol")))
-    found = F.concat(named(0, F.regexp_extract_all("line", F.lit(r"\b(\w+)\.(?:java|ts|vue|kt)\b"), 1)), named(1, F.regexp_extract_all("line", F.lit(r"`(\w+)(?:\(\))?`"), 1)), named(2, text.strong_symbols(bare)))
+    found = F.concat(named(0, F.regexp_extract_all("line", F.lit(r"\b(\w+)\.(?:java|ts|vue|kt)\b"), 1)), named(1, F.regexp_extract_all("line", F.lit(r"`(\w+)(?:\(\))?`"), 1)), named(2, text.strong_symbols(bare, stopwords)))
     cited = lines.select("id", (F.col("n") + 1).alias("no"), F.explode(found).alias("f")).select("id", "no", "f.*")
     best = cited.groupBy("id", "symbol").agg(F.min(F.struct("rank", "no")).alias("b")).select("id", "symbol", F.element_at(F.array(*map(F.lit, CITATIONS)), F.col("b.rank") + 1).alias("citation"), F.col("b.no").alias("no"))
     w = Window.partitionBy("id").orderBy("no", "symbol")

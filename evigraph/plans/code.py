@@ -87,10 +87,10 @@ _add("ext_27_rule_endpoints", lambda spark, d: extract.rule_endpoints(made(spark
 _add("ext_32_merged_rules", lambda spark, d: extract.merge_rules(made(spark, d, "select distinct p_size % 10 as id, 'old' as origin from part"), made(spark, d, "select distinct p_size % 15 as id, 'mined' as origin from part")), "select distinct p_size % 10 as id, 'old' as origin from part union all select distinct p_size % 15, 'mined' from part where p_size % 15 not in (select p_size % 10 from part)")
 LINES = f"""select 'A' || {K} || case when p_size % 2 = 0 then '.java' else '.ts' end as file, p_partkey as no, case p_size % 5 when 0 then 'public class C' || {Z} || ' {{ // class no' when 1 then 'const c' || {Z} || ' = "class in text";' when 2 then ' private final int f' || {Z} || ' = 3;' when 3 then 'export async function g' || {Z} || '(a) {{' else ' * class inComment' end as line from part"""
 _add("ext_15_declarations", lambda spark, d: code.declarations(made(spark, d, LINES)), f"with l as ({LINES}), s as (select *, suffix(file, '.java') as j, (no)::bigint as k from l), p as (select 'A' || {K} || case when p_size % 2 = 0 then '.java' else '.ts' end as file, p_partkey as no, p_size as z from part) select file, no, case z % 5 when 0 then 'class' when 1 then 'const' when 2 then 'field' else 'method' end as kind, case z % 5 when 0 then 'C' when 1 then 'c' when 2 then 'f' else 'g' end || z as name from p where z % 5 = 0 or z % 5 in (1, 3) and not suffix(file, '.java') or z % 5 = 2 and suffix(file, '.java')")
-ADRS = f"""select 'adr/' || lpad({K}, 4, '0') || '-x.md' as path, '# Decision ' || {Z}{N}'Status: ' || case when p_size % 2 = 0 then 'Accepted' else 'draft' end{N}'uses OrderBox' || {V} || ' and `OrderBox' || {V} || '` there'{N}'see Invoice' || {O} || '.java and InvoiceLine' as content from part where p_partkey < 10000"""
-_add("ext_16_decision_index", lambda spark, d: code.decision_index(made(spark, d, ADRS)), f"select lpad({K}, 4, '0') as id, 'Decision ' || {Z} as title, case when p_size % 2 = 0 then 'accepted' else 'draft' end as status, array_to_string(list_sort(list_filter(['Decision', 'InvoiceLine', case when p_size % 2 = 0 then 'Accepted' end, 'OrderBox' || {V}], lambda x: x is not null)), ',') as symbols from part where p_partkey < 10000")
-CITED = f"select lpad({K}, 4, '0') as id, 'OrderBox' || {V} as symbol, 'backtick' as citation, 3 as no from part where p_partkey < 10000 union all select lpad({K}, 4, '0'), 'Invoice' || {O}, 'file', 4 from part where p_partkey < 10000 union all select lpad({K}, 4, '0'), 'InvoiceLine', 'prose', 4 from part where p_partkey < 10000 union all select lpad({K}, 4, '0'), 'Decision', 'prose', 1 from part where p_partkey < 10000 union all select lpad({K}, 4, '0'), 'Accepted', 'prose', 2 from part where p_partkey < 10000 and p_size % 2 = 0"
-_cited = lambda spark, d: code.citations(made(spark, d, ADRS)).where("symbol <> 'Status'")
+ADRS = f"""select 'adr/' || lpad({K}, cast(greatest(4, length({K})) as int), '0') || '-x.md' as path, '# Decision ' || {Z}{N}'Status: ' || case when p_size % 2 = 0 then 'Accepted' else 'draft' end{N}'uses OrderBox' || {V} || ' and `OrderBox' || {V} || '` there'{N}'see Invoice' || {O} || '.java and InvoiceLine' as content from part"""
+_add("ext_16_decision_index", lambda spark, d: code.decision_index(made(spark, d, ADRS), ("Status",)), f"select lpad({K}, cast(greatest(4, length({K})) as int), '0') as id, 'Decision ' || {Z} as title, case when p_size % 2 = 0 then 'accepted' else 'draft' end as status, array_to_string(list_sort(list_filter(['Decision', 'InvoiceLine', case when p_size % 2 = 0 then 'Accepted' end, 'OrderBox' || {V}], lambda x: x is not null)), ',') as symbols from part")
+CITED = f"select lpad({K}, cast(greatest(4, length({K})) as int), '0') as id, 'OrderBox' || {V} as symbol, 'backtick' as citation, 3 as no from part union all select lpad({K}, cast(greatest(4, length({K})) as int), '0'), 'Invoice' || {O}, 'file', 4 from part union all select lpad({K}, cast(greatest(4, length({K})) as int), '0'), 'InvoiceLine', 'prose', 4 from part union all select lpad({K}, cast(greatest(4, length({K})) as int), '0'), 'Decision', 'prose', 1 from part union all select lpad({K}, cast(greatest(4, length({K})) as int), '0'), 'Accepted', 'prose', 2 from part where p_size % 2 = 0"
+_cited = lambda spark, d: code.citations(made(spark, d, ADRS), stopwords=("Status",))
 _add("ext_17_citations", _cited, CITED)
 _ADRNODES = "select 'N' || cast(n_nationkey as varchar(20)) as id, 'OrderBox' || cast(n_nationkey % 7 as varchar(20)) as class_name from nation"
 _add("gra_26_linked_decisions", lambda spark, d: code.linked_decisions(_cited(spark, d), made(spark, d, _ADRNODES)), f"with c as ({CITED}), n as ({_ADRNODES}) select distinct c.id, symbol, n.id as node from c join n on class_name = symbol")

@@ -18,15 +18,16 @@ from evigraph.sources.shared import scratch
 
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:
-    """Edges as JSON lines in the shared folder, read through the guard."""
+    """All edges as JSON lines in the shared folder, a payload for each relation, weight and sixteenth of the sources, read through the guard."""
     path = scratch(spark, "payload")
-    rows = frame(spark, d, "edges").where("weight = 1 and rel = 'CALLS'").select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("rel").alias("kind"), F.coalesce("resolution", F.lit("none")).alias("resolution"))
-    rows.write.json(path)
+    of = F.concat_ws("-", "rel", "weight", F.pmod(F.xxhash64("src"), F.lit(16)))
+    rows = frame(spark, d, "edges").select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("rel").alias("kind"), F.coalesce("resolution", F.lit("none")).alias("resolution"), of.alias("payload"))
+    rows.repartition("payload").write.partitionBy("payload").json(path)
     return readers.edge_payload(spark, path)
 
 
-_add("src_05_edge_payload", lambda spark, d: _payload(spark, d).groupBy("kind", "resolution").agg(F.count("*").alias("edges")), with_frames("edges") + " select rel as kind, coalesce(resolution, 'none') as resolution, count(*) as edges from edges where weight = 1 and rel = 'CALLS' group by all")
-_add("src_06_config_payload", lambda spark, d: readers.config_payload(_payload(spark, d).withColumn("resolution", F.when(F.length("to") % 2 == 0, "config").otherwise(F.col("resolution")))).groupBy("kind").agg(F.count("*").alias("edges")), with_frames("edges") + " select rel as kind, count(*) as edges from edges where weight = 1 and rel = 'CALLS' and length(dst) % 2 = 0 group by all")
+_add("src_05_edge_payload", lambda spark, d: _payload(spark, d).groupBy("kind", "resolution").agg(F.count("*").alias("edges")), with_frames("edges") + " select rel as kind, coalesce(resolution, 'none') as resolution, count(*) as edges from edges group by all")
+_add("src_06_config_payload", lambda spark, d: readers.config_payload(_payload(spark, d).withColumn("resolution", F.when(F.length("to") % 2 == 0, "config").otherwise(F.col("resolution")))).groupBy("kind").agg(F.count("*").alias("edges")), with_frames("edges") + " select rel as kind, count(*) as edges from edges where length(dst) % 2 = 0 group by all")
 _BODY = """select n_nationkey % 4 as run_id, '{"entities":[{"name":"E' || n_name || '","file":"a.ts"},{"name":"order","file":"b.ts"}],"pages":[{"name":"P' || n_name || '","file":"p.vue"}],"routes":[]}' as body from nation"""
 ITEMS = "items as (select n_nationkey % 4 as run_id, 'entities' as kind, 'E' || n_name as name, 'a.ts' as file from nation union all select n_nationkey % 4, 'entities', 'order', 'b.ts' from nation union all select n_nationkey % 4, 'pages', 'P' || n_name, 'p.vue' from nation)"
 _items = lambda spark, d: stores.payload_items(made(spark, d, _BODY))

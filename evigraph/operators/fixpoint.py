@@ -123,10 +123,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         found.append(members)
         gone = members.select("node")
         step = cut(step.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
-    out = all_.withColumn("component", F.lit(None).cast("string"))
-    for members in found:
-        out = out.join(members.withColumnRenamed("component", "c"), "node", "left").select("node", F.coalesce("component", "c").alias("component"))
-    return out.select("node", F.coalesce("component", "node").alias("component"))
+    if not found:
+        return all_.select("node", F.col("node").alias("component"))
+    members = found[0]
+    for more in found[1:]:
+        members = members.unionByName(more)
+    return all_.join(members, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def levels(edges: DataFrame, components: DataFrame) -> DataFrame:

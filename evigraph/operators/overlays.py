@@ -199,13 +199,13 @@ def capability_lookup(asks: DataFrame, functions: DataFrame, calls: DataFrame, b
     walked = None
     for d in range(1, depth + 1):
         reached = frontier.join(step, "src").select("ask", "dst").distinct()
-        found = reached.join(hits, "dst").select("ask", F.lit(3).alias("tier"), (F.lit(d * 1_000_000_000) + F.col("seq")).alias("seq"), "capability")
+        found = reached.join(hits, "dst").select("ask", F.lit(3).alias("tier"), F.lit(d).alias("far"), "seq", "capability")
         walked = found if walked is None else walked.unionByName(found)
         frontier = reached.withColumnRenamed("dst", "src")
     named = has.withColumn("handler", F.substring_index("name", ".", -1)).where("name <> handler")
     method = asks.join(named, ["file", "handler"]).select("ask", F.lit(5).alias("tier"), "seq", "capability")
-    all_ = direct.unionByName(bound).unionByName(walked).unionByName(other).unionByName(method)
-    return all_.groupBy("ask").agg(F.min(F.struct("tier", "seq", "capability")).alias("m")).select("ask", "m.tier", "m.capability")
+    all_ = direct.unionByName(bound).unionByName(other).unionByName(method).withColumn("far", F.lit(0)).unionByName(walked)
+    return all_.groupBy("ask").agg(F.min(F.struct("tier", "far", "seq", "capability")).alias("m")).select("ask", "m.tier", "m.capability")
 
 
 def check_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:

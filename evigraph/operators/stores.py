@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.operators import catalog as cat
+from evigraph.operators import fixpoint
 
 #: Items that one kind of a payload may have, and rows that a lookup gives at most.
 MOST_ITEMS, MOST_HITS = 10_000, 100
@@ -57,11 +58,16 @@ def findings(entries: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def export(entries: DataFrame) -> DataFrame:
-    """SNK-04, TOP-06: one JSON document per entry, the most critical first by `rank`."""
-    w = Window.partitionBy(F.col("criticality")).orderBy("entry_id")
-    above = entries.groupBy("criticality").agg(F.count("*").alias("n")).select("criticality", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("criticality")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    """SNK-04, TOP-06: one JSON document per entry, the most critical first by `rank`.
+
+    Ranks are a place within a range of the sorted entries and the sizes of the ranges before it; no window holds more than a range."""
     doc = F.to_json(F.struct("entry_id", "endpoint", F.col("http_method").alias("method"), "criticality", "roles"))
-    return entries.withColumn("within", F.row_number().over(w)).join(above, "criticality").select("entry_id", (F.col("above") + F.col("within")).alias("rank"), doc.alias("document"))
+    ranged = entries.select("criticality", "entry_id", doc.alias("document")).orderBy(F.desc("criticality"), "entry_id")
+    placed = fixpoint.cut(ranged.withColumn("at", F.monotonically_increasing_id())).withColumn("range", F.shiftright("at", 33))
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
+    above = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    within = F.col("at") - F.shiftleft(F.col("range"), 33) + 1
+    return placed.join(above, "range").select("entry_id", (F.col("above") + within).alias("rank"), "document")
 
 
 def schema_fields(entities: DataFrame, graph_entities: DataFrame) -> DataFrame:

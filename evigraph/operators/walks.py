@@ -15,12 +15,22 @@ WALKABLE = ("RUNTIME_OBSERVED", "STATIC_PROVEN")
 
 def mechanism(edges: DataFrame, roots: DataFrame, max_depth: int = 6, max_steps: int = 60) -> DataFrame:
     """GRA-10: root, order, src, dst, rel, depth: the edges a breadth-first walk takes, by level, then source, observed ones first,
-    then target and relation. A node's place in the walk depends on its level only, so the walk is a reachability and one sort."""
-    flow = evidence.edge_evidence(evidence.first_wins(edges.where(F.col("rel").isin(*FLOW))))
-    at = fixpoint.reach(flow, roots, max_depth - 1)
-    steps = at.join(flow, F.col("node") == F.col("src"))
-    seen = (F.col("observed") | (F.col("method") == "RUNTIME_OBSERVED")).cast("int")
-    w = Window.partitionBy("root").orderBy("depth", "src", F.desc(F.coalesce(seen, F.lit(0))), "dst", "rel")
+    then target and relation. A root whose walk is full goes no further, since what lies deeper comes later."""
+    cut = fixpoint.cut
+    flow = cut(evidence.edge_evidence(evidence.first_wins(edges.where(F.col("rel").isin(*FLOW)))))
+    ways = cut(flow.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("ways")))
+    seen = frontier = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
+    for depth in range(1, max_depth):
+        taken = seen.join(ways, "node").groupBy("root").agg(F.sum("ways").alias("n"))
+        going = frontier.join(taken.where(F.col("n") >= max_steps), "root", "left_anti")
+        found = going.join(flow, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        frontier = cut(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if not frontier.take(1):
+            break
+        seen = seen.unionByName(frontier)
+    steps = seen.join(flow, F.col("node") == F.col("src"))
+    ran = (F.col("observed") | (F.col("method") == "RUNTIME_OBSERVED")).cast("int")
+    w = Window.partitionBy("root").orderBy("depth", "src", F.desc(F.coalesce(ran, F.lit(0))), "dst", "rel")
     return steps.withColumn("order", F.row_number().over(w).cast("long")).where(F.col("order") <= max_steps).select("root", "order", "src", "dst", "rel", F.col("depth").cast("long").alias("depth"))
 
 

@@ -3,7 +3,7 @@ import sys
 
 import pytest
 
-from evigraph.plans import assembly, code, domains, extraction, layers, manifests, nested, overlays, scalars, snapshots, stores, traces  # noqa: F401  register their queries
+from evigraph.plans import assembly, code, domains, extraction, layers, manifests, nested, overlays, reports, scalars, snapshots, stores, traces  # noqa: F401  register their queries
 from tests.conftest import ROOT, SF
 
 

@@ -249,7 +249,9 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent:
     pairs = _candidates(members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node"), least, percent)
     clusters = components(pairs).withColumnRenamed("component", "cluster").join(classes.select("node", "rep", "x", "n"), "node")
     sizes = written(clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")), "sizes")
-    dealt = _in_blocks(clusters.drop("n").join(sizes, "cluster"), "cluster", "blocks").join(texts.withColumnRenamed("id", "rep"), ["rep", "x"])
+    # a row may be repeated any number of times: one text of each class goes to the blocks
+    held = texts.withColumnRenamed("id", "rep").join(clusters.select("rep", "x"), ["rep", "x"], "left_semi").groupBy("rep", "x").agg(F.first("text").alias("text"))
+    dealt = _in_blocks(clusters.drop("n").join(sizes, "cluster"), "cluster", "blocks").join(held, ["rep", "x"])
     found = written(components(_links(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node"), width, percent)).withColumnRenamed("component", "grp"), "groups")
     ids = classes.select("digest", "node", "rep")
     smallest = found.join(ids, "node").groupBy("grp").agg(F.min("rep").alias("component"))

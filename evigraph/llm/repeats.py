@@ -196,8 +196,9 @@ def repeated_windows(contexts: list[bytes], offs: list[int], groups: list[int],
 def _cut(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The contexts of the chosen occurrences: h, c, off, ctx, hot."""
     lists = reps.groupBy("id", "x").agg(F.collect_list(F.struct("h", "c", "start", "off", "w", "hot")).alias("want"))
-    both = lists.join(texts.withColumnsRenamed({"id": "tid", "x": "tx"}), (F.col("id").eqNullSafe(F.col("tid"))) & (F.col("x") == F.col("tx"))).select("want", "text")
-    return both
+    both = lists.join(texts.withColumnsRenamed({"id": "tid", "x": "tx"}), (F.col("id").eqNullSafe(F.col("tid"))) & (F.col("x") == F.col("tx")))
+    # a row may be repeated any number of times: its contexts are cut once
+    return both.groupBy("id", "x").agg(F.first("want").alias("want"), F.first("text").alias("text")).select("want", "text")
 
 
 def _group_runs(cut: DataFrame, length: int, measure: Measure) -> DataFrame:
@@ -271,7 +272,7 @@ def _covers(texts: DataFrame, length: int, hot: int, measure: Measure = BYTES) -
     flags = written(whole.unionByName(runs.join(single, ["h", "c"], "left_semi")), "flags")
     starts = found.join(flags, ["h", "c"]).select("id", "x", F.explode("starts").alias("s"), "runs")
     ranges = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
-    return settled(starts.groupBy(F.col("id").alias("sid"), F.col("x").alias("sx")).agg(F.flatten(F.collect_list(ranges)).alias("cover")), "covers", before)
+    return settled(starts.groupBy(F.col("id").alias("sid"), F.col("x").alias("sx")).agg(F.flatten(F.collect_set(ranges)).alias("cover")), "covers", before)
 
 
 def _spans(cover: list[dict] | None) -> list[dict]:

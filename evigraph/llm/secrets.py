@@ -7,12 +7,14 @@ costed, whether a fixed pattern finds it or not; one whose cost reaches `min_cos
 Kinds `assign`, `access` and `hex` are the fixed patterns. Spans are in code points, the end is exclusive.
 
 Words are ranked by three lists, of which the best rank counts: WORDS, the whole words of the tokenizer's vocabulary in the order
-of their merges, and the words of the table itself by the number of documents that hold them outside of credential values.
+of their merges, and the words of the table itself by the number of documents that hold them outside of credential values. Any
+number of words is ranked: only those that stand inside a value are looked up, by a join, and each value gets its own. Distinct
+values are costed once.
 
 Rows: a null or empty text has no spans; texts are scanned whole; repeated rows give repeated results; spans that start alike
 come in the order of the kinds; an empty table gives no rows; other columns, whatever their names, are ignored. Repeats and
-walks are segments of any length, so work grows with the square of a value's length, in array operations; for the rest of a text
-it is linear.
+walks are segments of any length: repeats come from the longest Lyndon words, and of the starts of a segment only those are kept
+that can still become the best, so work grows with n log n in a value's length, and linearly in the rest of a text.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigraph.llm.bpe import default_vocabulary
-from evigraph.llm.common import arrow_stage, written
+from evigraph.llm.common import arrow_stage, numbered, written
 
 KINDS = ("assign", "access", "hex", "cred")
 
@@ -59,10 +61,12 @@ _YEAR, _MONTH, _DAY, _SEP = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|
 DATES = [re.compile(_SEP.join(form)) for form in ((_YEAR,), (_YEAR, _MONTH), (_YEAR, _MONTH, _DAY), (_DAY, _MONTH, _YEAR))]
 #: Year that guessers begin with.
 THIS_YEAR = 2025
-#: What counts as a word of the table: letters only; in so many documents at least, and so many words at most, the most frequent:
-#: they are broadcast, about 10 MB.
-WORD = re.compile(r"[^\W\d_]{3,24}")
-LEAST, MOST = 3, 100_000
+#: What counts as a word of the table: letters only, and in so many documents at least, whatever the table's size.
+WORD = re.compile(r"[^\W\d_]{3,}")
+LEAST = 3
+#: Longest word that is looked for at any place of a value; a longer one must be all letters between two others.
+INSIDE = 24
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _date_cost(date: str) -> float:
@@ -89,19 +93,91 @@ def _tables() -> tuple[dict[str, float], frozenset[str]]:
     return ranks, steps
 
 
+def _orders(a: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the stretches of 1, 2, 4, ... characters from each place on, up to the size at which all differ."""
+    n, size = len(a), 1
+    levels = [np.unique(a, return_inverse=True)[1].astype(np.int32)]
+    while size < n and levels[-1].max() < n - 1:
+        after = np.zeros(n, np.int64)
+        after[:-size] = levels[-1][size:] + 1
+        levels.append(np.unique(levels[-1].astype(np.int64) * (n + 1) + after, return_inverse=True)[1].astype(np.int32))
+        size *= 2
+    return levels
+
+
+def _lyndon(rank: list[int]) -> np.ndarray:
+    """Lengths of the longest Lyndon words from each place on: they end where the next smaller suffix begins."""
+    n = len(rank)
+    sizes, later = np.empty(n, np.int64), []
+    for i in range(n - 1, -1, -1):
+        while later and rank[later[-1]] > rank[i]:
+            later.pop()
+        sizes[i] = (later[-1] if later else n) - i
+        later.append(i)
+    return sizes
+
+
 def _repeats(low: str) -> list[tuple[int, int, int]]:
-    """(start, end, period) of the maximal repeats: twice the period or longer, and no repeat of a part of the period."""
-    a = np.array([ord(c) for c in low], np.uint32)
+    """(start, end, period) of the maximal repeats: twice the period or longer, and no repeat of a part of the period.
+
+    Each has a longest Lyndon word of its period's length, in the order of the characters or in its reverse, that extends to it.
+    """
+    a = np.array([ord(c) for c in low], np.int64)
     n = len(a)
-    found: list[tuple[int, int, int]] = []
-    for p in range(1, n // 2 + 1):
-        if not (a[p::p] == a[: n - p : p][: len(a[p::p])]).any():  # a repeat holds a multiple of its period
-            continue
-        edges = np.flatnonzero(np.diff(np.r_[False, a[p:] == a[:-p], False].view(np.int8)))
-        for s, e in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
-            if e - s >= p and not any(p % q == 0 and t <= s and e + p <= z for t, z, q in found):
-                found.append((s, e + p, p))
-    return found
+    if n < 2:
+        return []
+    levels = _orders(a)
+    i = np.tile(np.arange(n), 2)
+    p = np.r_[_lyndon(levels[-1].tolist()), _lyndon(_orders(a.max() - a)[-1].tolist())]
+    i, p = i[i + p < n], p[i + p < n]
+    ahead, back = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        rank, size = levels[k], 1 << k
+        x, y = i + ahead, i + p + ahead
+        ahead += size * ((y < n) & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
+        x, y = i - back - size, i + p - back - size
+        back += size * ((x >= 0) & (rank[np.maximum(x, 0)] == rank[np.maximum(y, 0)]))
+    whole = back + p + ahead >= 2 * p
+    return sorted(set(zip((i - back)[whole].tolist(), (i + p + ahead)[whole].tolist(), p[whole].tolist(), strict=True)))
+
+
+class _Stretch:
+    """The least cost of a segment inside a stretch that ends where the text so far does.
+
+    The size's logarithm is concave: of two starts the earlier one gains with each step, and a later one that isn't better when it
+    comes in never is. `starts` holds those that can still be the best, the best last, each overtaken by the one before it sooner
+    than that is by the one before it.
+    """
+
+    __slots__ = ("base", "end", "least", "starts")
+
+    def __init__(self, end: int, least: int, base: float):
+        self.end, self.least, self.base = end, least, base
+        self.starts: list[tuple[float, int]] = []
+
+    @staticmethod
+    def _overtakes(old: tuple[float, int], new: tuple[float, int]) -> float:
+        """Where the earlier start is as good as the later one."""
+        if new[0] <= old[0]:
+            return math.inf
+        ratio = 10 ** (new[0] - old[0])
+        return (ratio * new[1] - old[1]) / (ratio - 1) if ratio > 1 else math.inf
+
+    def cost(self, end: int, best: list[float], log: list[float]) -> float:
+        starts = self.starts
+        while len(starts) > 1 and starts[-2][0] + log[end - starts[-2][1]] <= starts[-1][0] + log[end - starts[-1][1]]:
+            starts.pop()
+        new = best[end - self.least], end - self.least
+        if not starts or new[0] + log[self.least] < starts[-1][0] + log[end - starts[-1][1]]:
+            while len(starts) > 1 and self._overtakes(starts[-2], starts[-1]) <= self._overtakes(starts[-1], new):
+                starts.pop()
+            starts.append(new)
+        return self.base + starts[-1][0] + log[end - starts[-1][1]]
+
+
+def _lowered(value: str) -> str:
+    low = value.lower()
+    return low if len(low) == len(value) else value
 
 
 def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
@@ -109,9 +185,7 @@ def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
     ranks, steps = _tables()
     words = words or {}
     n = len(value)
-    low = value.lower()
-    if len(low) != n:
-        low = value
+    low = _lowered(value)
     sizes = ((10, r"[0-9]"), (26, r"[a-z]"), (26, r"[A-Z]"), (33, r"[^0-9a-zA-Z]"))
     per_char = math.log10(max(10, sum(size for size, kind in sizes if re.search(kind, value))))
     dates: dict[int, list[int]] = {}
@@ -128,27 +202,51 @@ def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
         if at == n or low[at - 1 : at + 1] not in steps:
             stretches.append((start, at, 3, math.log10(20) + extra))
             start = at
-    ending: dict[int, list[tuple[int, int, float]]] = {}
+    opening: dict[int, list[_Stretch]] = {}
     for s, e, least, base in stretches:
-        for end in range(s + least, e + 1):
-            ending.setdefault(end, []).append((s, least, base))
-    logs = np.log10(np.arange(1, n + 2))
-    best = np.zeros(n + 1)
+        if s + least <= e:
+            opening.setdefault(s + least, []).append(_Stretch(e, least, base))
+    letters = [0] * (n + 1)  # how many letters end here
+    closed = bytearray(n + 2)  # where letters end
+    for m in _LETTERS.finditer(low):
+        letters[m.start() + 1 : m.end() + 1] = range(1, m.end() - m.start() + 1)
+        closed[m.end()] = 1
+    log = [0.0, *np.log10(np.arange(1, n + 1)).tolist()]
+    best = [0.0] * (n + 1)
+    active: list[_Stretch] = []
     for end in range(1, n + 1):
         cost = best[end - 1] + per_char
-        for s, least, base in ending.get(end, ()):
-            stop = end - least + 1
-            cost = min(cost, base + (best[s:stop] + logs[end - stop : end - s][::-1]).min())
+        active = [x for x in active if x.end >= end] + opening.pop(end, [])
+        for x in active:
+            cost = min(cost, x.cost(end, best, log))
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + _date_cost(value[start:end]) + extra)
-        for size in range(3, min(24, end) + 1):
+        run = letters[end]
+        for size in (*range(3, min(INSIDE, run) + 1), *((run,) if closed[end] and run > INSIDE else ())):
             part = low[end - size : end]
-            rank = min(ranks.get(part, math.inf), words.get(part, math.inf))
+            rank = ranks.get(part, math.inf)
+            if words:
+                rank = min(rank, words.get(part, math.inf))
             if rank < math.inf:
                 word = value[end - size : end]
                 cost = min(cost, best[end - size] + rank + extra + (0 if word.islower() else 0.3 if word.isupper() or word[:1].isupper() else 1))
         best[end] = cost
-    return float(best[n])
+    return best[n]
+
+
+def _parts(value: str):
+    """Sets of what can be a word inside a value, for a bounded number of places each."""
+    low, held = _lowered(value), set()
+    for m in _LETTERS.finditer(low):
+        run = m[0]
+        if len(run) > INSIDE:
+            held.add(run)
+        for i in range(len(run) - 2):
+            held.update(run[i : i + size] for size in range(3, min(INSIDE, len(run) - i) + 1))
+            if len(held) > 50_000:
+                yield held
+                held = set()
+    yield held
 
 
 class _Words(dict):
@@ -172,11 +270,12 @@ def _outside(text: str) -> set[str]:
     return set().union(*map(_words.__getitem__, set(low.split())))
 
 
-def ranked_words(df: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Costs of the words that most documents hold, of those in LEAST documents or more; words in as many documents by the word.
+def ranked_words(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, rank) of all words that LEAST documents or more hold: rank is log10 of one more than the number of words in as many or more.
 
-    Words are counted over all documents. A table of an eighth of a doubling each tells from how many documents on there are MOST
-    words at most; only these reach the driver."""
+    The running sum goes over the distinct numbers of documents, of which there are at most as many as the square root of twice
+    the number of (document, word) pairs.
+    """
 
     def count(batches):
         held: Counter = Counter()
@@ -191,66 +290,112 @@ def ranked_words(df: DataFrame, text_col: str = "text") -> dict[str, float]:
         _words.clear()  # a worker lives on after its task
 
     parts = arrow_stage(df.select(F.col(text_col).cast("string").alias("t")), "w string, n long", count)
-    counts = written(parts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).withColumn("size", F.floor(F.log2("n") * 8).cast("int")), "words")
-    least, held = 0, 0
-    for r in sorted(counts.groupBy("size").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
-        held += r["words"]
-        if held > MOST:
-            least = r["size"] + 1
-            break
-    top = counts.where(F.col("size") >= least).select("w", "n").collect()
-    return _ranks([r["w"] for r in sorted(top, key=lambda r: (-r["n"], r["w"]))])
+    counts = written(parts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "words")
+    many = counts.groupBy("n").agg(F.count("*").alias("words"))
+    ranks = many.select("n", F.log10(1 + F.sum("words").over(Window.orderBy(F.desc("n")))).alias("rank"))
+    return counts.join(written(ranks, "ranks"), "n").select("w", "rank")
 
 
-def scan(text: str | None, min_cost: float, words: dict[str, float] | None = None) -> list[tuple[str, int, int, float | None]]:
-    """(kind, start, end, guess cost of the value if any), by start, then kind as in KINDS."""
+def credentials(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 9.0) -> DataFrame:
+    """(sid, sx, creds) of the documents with values that cost min_cost or more; sx is the text's hash, creds an array of (start, end, cost)."""
+    source = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("x", F.xxhash64("t"))
+
+    def values(batches):
+        for b in batches:
+            for key, x, text in zip(b["k"], b["x"], b["t"], strict=True):
+                yield from ((key, x, m.start(1), m.end(1), m[1]) for m in _contexts(text))
+
+    places = arrow_stage(source, "k long, x long, start long, end long, value string", values).withColumn("v", F.sha2("value", 256))
+    places = written(places, "places")
+    distinct = written(places.groupBy("v").agg(F.first("value").alias("value")), "values")
+
+    def parts(batches):
+        for b in batches:
+            for v, value in zip(b["v"], b["value"], strict=True):
+                yield from ((v, w) for held in _parts(value) for w in held)
+
+    asked = written(arrow_stage(distinct, "v string, w string", parts), "parts")
+    # the counts are cut down to what is asked for; the few words left then meet the values
+    ranked = written(ranked_words(df, text_col).join(asked.select("w").distinct(), "w", "left_semi"), "ranked")
+    known = asked.join(ranked, "w").groupBy("v").agg(F.collect_set(F.struct("w", "rank")).alias("words"))
+
+    def costs(batches):
+        for b in batches:
+            for v, value, words in zip(b["v"], b["value"], b["words"], strict=True):
+                cost = guess_cost(value, {x["w"]: x["rank"] for x in words or ()})
+                if cost >= min_cost:
+                    yield v, cost
+
+    costed = written(arrow_stage(distinct.join(known, "v", "left"), "v string, cost double", costs), "costs")
+    spans = places.join(costed, "v").groupBy(F.col("k").alias("sid"), F.col("x").alias("sx"))
+    return written(spans.agg(F.collect_set(F.struct("start", "end", "cost")).alias("creds")), "creds")
+
+
+def _contexts(text: str | None):
+    if text and any(h in text.lower() for h in CONTEXT_HINTS):
+        yield from CONTEXT.finditer(text)
+
+
+def base_spans(text: str | None) -> list[tuple[int, int, int, None]]:
+    """(start, number of the kind, end, None) of what the fixed patterns find."""
     if not text:
         return []
     low = text.lower()
-    found: list[tuple[int, int, int, float | None]] = []
+    found: list[tuple[int, int, int, None]] = []
     if any(h in low for h in ASSIGN_HINTS):
         found += [(m.start(), 0, m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
-    if any(h in low for h in CONTEXT_HINTS):
-        for m in CONTEXT.finditer(text):
-            if (cost := guess_cost(m[1], words)) >= min_cost:
-                found.append((m.start(1), 3, m.end(1), cost))
+    return found + [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
+
+
+def _ordered(found: list[tuple]) -> list[tuple[str, int, int, float | None]]:
     return [(KINDS[k], s, e, c) for s, k, e, c in sorted(found, key=lambda x: x[:3])]
 
 
+def scan(text: str | None, min_cost: float, words: dict[str, float] | None = None) -> list[tuple[str, int, int, float | None]]:
+    """(kind, start, end, guess cost of the value if any) of one text, by start, then kind as in KINDS."""
+    costed = ((m.start(1), 3, m.end(1), guess_cost(m[1], words)) for m in _contexts(text))
+    return _ordered([*base_spans(text), *(x for x in costed if x[3] >= min_cost)])
+
+
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 9.0) -> DataFrame:
     """For each row: the id and `found`, an array of (kind, start, end, cost)."""
 
-    words = df.sparkSession.sparkContext.broadcast(ranked_words(df, text_col))
-
-    def rows(batches):
+    def base(batches):
         for b in batches:
-            for key, text in zip(b["k"], b["t"], strict=True):
-                yield key, [{"kind": k, "start": s, "end": e, "cost": c} for k, s, e, c in scan(text, min_cost, words.value)]
+            for key, x, text in zip(b["k"], b["x"], b["t"], strict=True):
+                yield key, x, [{"start": s, "kind": k, "end": e, "cost": None} for s, k, e, _ in sorted(base_spans(text), key=lambda x: x[:3])]
 
-    source = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    return arrow_stage(source, f"`{id_col}` long, found array<struct<kind:string,start:long,end:long,cost:double>>", rows)
+    source = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("x", F.xxhash64("t"))
+    fixed = arrow_stage(source, "k long, x long, base array<struct<start:long,kind:int,end:long,cost:double>>", base)
+    creds = credentials(df, id_col, text_col, min_cost)
+    both = fixed.join(creds, F.col("k").eqNullSafe(F.col("sid")) & (F.col("x") == F.col("sx")), "left")
+    more = F.transform("creds", lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"), c["cost"].alias("cost")))
+    spans = F.array_sort(F.when(F.col("creds").isNull(), F.col("base")).otherwise(F.concat("base", more)))
+    kinds = F.array(*map(F.lit, KINDS))
+    named = F.transform(spans, lambda x: F.struct(F.element_at(kinds, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["cost"].alias("cost")))
+    return both.select(F.col("k").alias(id_col), named.alias("found"))
 
 
-def redact(df: DataFrame, min_cost: float = 9.0, mark: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", min_cost: float = 9.0, mark: str = "[SECRET]") -> DataFrame:
     """The same columns; in `text` each run of overlapping spans is replaced by the mark, and `n_chars` follows if there.
 
     A row without spans keeps its text and n_chars as they are.
     """
     names = df.columns
-    kind = df.schema
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
-
-    words = df.sparkSession.sparkContext.broadcast(ranked_words(df))
+    own = numbered(df)
+    key, text = own.columns[names.index(id_col)], own.columns[at]
+    creds = credentials(own.select(key, text), key, text, min_cost)
+    joined = own.withColumns({"sk": F.col(key).cast("long"), "sh": F.xxhash64(F.col(text).cast("string"))})
+    joined = joined.join(creds, F.col("sk").eqNullSafe(F.col("sid")) & (F.col("sh") == F.col("sx")), "left").select(*own.columns, "creds")
 
     def rows(batches):
         for b in batches:
-            for row in zip(*b.values(), strict=True):
-                spans = scan(row[at], min_cost, words.value)
+            for *row, creds in zip(*b.values(), strict=True):
+                spans = _ordered([*base_spans(row[at]), *((c["start"], 3, c["end"], c["cost"]) for c in creds or ())])
                 if spans:
-                    row = list(row)
                     parts, done = [], 0
                     for _, s, e, _ in spans:
                         if s >= done:
@@ -261,7 +406,7 @@ def redact(df: DataFrame, min_cost: float = 9.0, mark: str = "[SECRET]") -> Data
                         row[size] = len(row[at])
                 yield tuple(row)
 
-    return arrow_stage(df, T.StructType([T.StructField(f.name, f.dataType, True) for f in kind.fields]), rows)
+    return arrow_stage(joined, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]), rows)
 
 
 def _joined(spans: Column) -> Column:

@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from evigraph.llm import bpe, chat, host_rules, langid, matroska, near_dup, packing, repeats, secrets, warc
-from tests.llm.test_llm import ODD, near_expected, repeats_expected
+from tests.llm.test_llm import ODD, frame, near_expected, repeats_expected
 from tests.llm.test_passages import prose
 
 #: Names that the operators use for columns of their own.
@@ -231,3 +231,29 @@ def test_credential_spans_stand_beside_fixed_ones(spark):
     text = "password=Zx9kQ2vLm4tR7 and token: abcabcabcabcabc"
     spans = secrets.scan(text, 9.0)
     assert [(k, text[s:e]) for k, s, e, _ in spans] == [("assign", "password=Zx9kQ2vLm4tR7"), ("cred", "Zx9kQ2vLm4tR7"), ("assign", "token: abcabcabcabcabc")]
+
+
+def test_rows_repeated_very_often(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = [*words[:110], "other", *words[111:]]
+    base = frame(spark, [" ".join(words), " ".join(near)])
+    docs = base.unionByName(base.where("doc_id = 0").crossJoin(spark.range(3000).toDF("n")).drop("n"))
+    largest = spark.sparkContext.accumulator(0)
+    plain = near_dup._by_group
+
+    def watched(batches, keys, values, solve):
+        def seen(group):
+            largest.add(max(0, len(group) - 2))
+            return solve(group)
+
+        return plain(batches, keys, values, seen)
+
+    monkeypatch.setattr(near_dup, "_by_group", watched)
+    rows = near_dup.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, rows)) == [(0, 0, True, 3001), (1, 0, False, 1)]
+    assert largest.value == 0
+    covers = repeats._covers(docs.selectExpr("doc_id as id", "text", "xxhash64(text) as x"), 400, 20_000).collect()
+    assert sorted(r["sid"] for r in covers) == [0, 1] and max(len(r["cover"]) for r in covers) < 100
+    got = repeats.repeats(docs).selectExpr("doc_id", "length(kept) as n").groupBy("doc_id").agg({"n": "max", "*": "count"}).collect()
+    assert {r["doc_id"]: (r["count(1)"], r["max(n)"] > 0) for r in got} == {0: (3001, False), 1: (1, True)}

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -48,13 +49,16 @@ SALTS = 64
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _NOT_WORD = r"\s!-/:-@\[-`{-~\xa1\xab\xb7\xbb\xbf\u2000-\u206f\u3000-\u303f\uff01-\uff0f"
 WORD = re.compile(f"[{_SINGLE}]|[^{_NOT_WORD}{_SINGLE}]+(?:['\u2019-][^{_NOT_WORD}{_SINGLE}]+)*")
-_TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP, _POWER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+#: Characters of a text that are looked at at a time; a piece without a space in it is taken whole.
+PIECE = 1 << 17
 
 
 def grams(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the `gram` symbols (a power of two) from each position on."""
-    h, step = (_TABLE[data] if data.dtype == np.uint8 else _mix(data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), 1
-    power = np.uint64(0xD6E8FEB86659FD93)
+    h, step = (_TABLE[data] if data.dtype == np.uint8 else _mix(data.astype(np.uint64) * _STEP)), 1
+    power = _POWER
     while step < gram:
         h = h[:-step] * power + h[step:]
         power, step = np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF), step * 2
@@ -62,20 +66,22 @@ def grams(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first window start, last window start) of the anchors of all windows, by position."""
+    """(hash, position, first window start, last window start) of the anchors of all windows, by position.
+
+    Of a window's k-grams the one whose hash has the least upper half is taken, the leftmost on ties: the least of these numbers.
+    """
     v = grams(data, gram)
     size = length - gram + 1  # k-grams in a window
-    low, at, step = v, np.arange(len(v), dtype=np.int32), 1
+    half = np.uint64(0xFFFFFFFF)
+    low, step = (v & ~half) | np.arange(len(v), dtype=np.uint64), 1
     while step * 2 <= size:
-        left = low[:-step] <= low[step:]
-        low, at, step = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:]), step * 2
-    shift = size - step
-    if shift:
-        n = len(low) - shift
-        at = np.where(low[:n] <= low[shift:], at[:n], at[shift:])
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:], len(at)] - 1
-    return v[at[first]], at[first], first, last
+        low, step = np.minimum(low[:-step], low[step:]), step * 2
+    if size > step:
+        low = np.minimum(low[: step - size], low[size - step :])
+    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    last = np.r_[first[1:], len(low)] - 1
+    at = (low[first] & half).astype(np.int64)
+    return v[at], at, first, last
 
 
 def _bytes(text: str | bytes | None) -> bytes:
@@ -84,22 +90,67 @@ def _bytes(text: str | bytes | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-class _Codes(dict):
-    """The bytes that stand for the words of each piece between white space; a store for speed, emptied when full."""
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= 100_000:
-            self.clear()
-        code = self[piece] = b"".join([xxhash.xxh32_digest(w.encode("utf-8", "surrogatepass")) for w in WORD.findall(piece)])
-        return code
-
-
-_codes = _Codes()
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+
+
+class _Words:
+    """WORD on arrays: finds a text's words by the kinds of its characters, and hashes each by sums of powers."""
+
+    def __init__(self):
+        every = "".join(map(chr, range(0x110000)))
+        #: Of each character: 1 in a word, 2 joins two parts of a word, 3 a word of its own, 0 else.
+        self.kind = np.zeros(len(every), np.uint8)
+        for kind, chars in enumerate((f"[^{_NOT_WORD}{_SINGLE}]+", "['\u2019-]", f"[{_SINGLE}]+"), 1):
+            for m in re.finditer(chars, every):
+                self.kind[m.start() : m.end()] = kind
+        self.latin = self.kind[:256].tobytes()
+        self.value = _mix(np.arange(1, len(every) + 1, dtype=np.uint64) * _STEP)
+        self.powers = self.scale(PIECE)
+
+    @staticmethod
+    def scale(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The powers that weigh the characters, and their inverses."""
+        return _powers(int(_POWER), n), _powers(pow(int(_POWER), -1, 1 << 64), n)
+
+    def codes(self, text: str) -> bytes:
+        """32 bits for each word of the text, one after the other."""
+        try:
+            data = text.encode("latin-1")
+            chars, kind = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(self.latin), np.uint8)
+        except UnicodeEncodeError:
+            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            kind = self.kind[chars]
+        inside = np.zeros(len(chars) + 2, bool)
+        inside[1:-1] = kind == 1
+        joins = np.flatnonzero(kind == 2)
+        inside[joins[inside[joins] & inside[joins + 2]] + 1] = True
+        first, after = np.flatnonzero(inside[1:] > inside[:-1]), np.flatnonzero(inside[1:] < inside[:-1])
+        alone = np.flatnonzero(kind == 3)
+        if len(alone):
+            first, after = np.sort(np.r_[first, alone]), np.sort(np.r_[after, alone + 1])
+        power, inverse = self.powers if len(chars) <= PIECE else self.scale(len(chars))
+        total = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(self.value[chars] * power[: len(chars)], out=total[1:])
+        return (((total[after] - total[first]) * inverse[first]) >> np.uint64(32)).astype("<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def _words() -> _Words:
+    """One per worker process, of 12 MB."""
+    return _Words()
 
 
 def _word_codes(text: str | None) -> bytes:
     """The codes of the text's words one after the other."""
-    return b"".join(map(_codes.__getitem__, text.split())) if text else b""
+    codes, at = [], 0
+    while text and at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            end = text.rfind(" ", at, end) + 1 or text.find(" ", end) + 1 or len(text)
+        codes.append(_words().codes(text[at:end]))
+        at = end
+    return b"".join(codes)
 
 
 class Measure(NamedTuple):
@@ -133,7 +184,6 @@ def _occurrences(texts: DataFrame, length: int, measure: Measure) -> DataFrame:
                     starts.setdefault(k, []).append(s)
                 ks = list(starts)
                 yield key, x, [k[0] for k in ks], [k[1] for k in ks], list(starts.values()), [k[2] for k in ks], [k[3] for k in ks]
-        _codes.clear()  # a worker lives on after its task
 
     out = arrow_stage(texts, "id long, x long, h array<long>, c array<long>, starts array<array<int>>, off array<int>, w array<int>", run, out_rows=500)
     out = out.select("id", "x", F.explode(F.arrays_zip("h", "c", "starts", "off", "w")).alias("o"))
@@ -211,7 +261,6 @@ def _group_runs(cut: DataFrame, length: int, measure: Measure) -> DataFrame:
                 for o in want:
                     if not o["hot"]:
                         yield o["h"], o["c"], o["off"], data[o["start"] * unit : (o["start"] + o["w"] + length) * unit]
-        _codes.clear()
 
     def solve(batches):
         def done(held):
@@ -258,18 +307,19 @@ def _covers(texts: DataFrame, length: int, hot: int, measure: Measure = BYTES) -
     Sides of joins on an anchor are tables, so that Spark can split the partition of a frequent one.
     """
     before = steps_so_far()
-    found = written(_occurrences(texts.select("id", "x", "text"), length, measure), "anchors")
-    shared = written(found.groupBy("h").agg(F.sum(F.size("starts")).alias("total")).where("total > 1").select("h"), "shared")
+    found = written(_occurrences(texts.select("id", "x", "text"), length, measure), "anchors", drop_shuffles=True)
+    shared = written(found.groupBy("h").agg(F.sum(F.size("starts")).alias("total")).where("total > 1").select("h"), "shared", drop_shuffles=True)
+    found = settled(found.join(shared, "h"), "common", before)  # an anchor that stands nowhere else is never read again
     one = F.struct("id", "x", F.element_at("starts", 1).alias("start"))
-    contexts = written(found.join(shared, "h").groupBy("h", "c", "off", "w").agg(F.sum(F.size("starts")).alias("total"), F.min(one).alias("rep")), "contexts")
-    several = written(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", (F.col("m") > hot).alias("hot")), "several")
+    contexts = written(found.groupBy("h", "c", "off", "w").agg(F.sum(F.size("starts")).alias("total"), F.min(one).alias("rep")), "contexts", drop_shuffles=True)
+    several = written(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", (F.col("m") > hot).alias("hot")), "several", drop_shuffles=True)
     cut = _cut(contexts.join(several, "h").select("h", "c", "off", "w", "rep.*", "hot"), texts)
     runs = _group_runs(cut, length, measure)
     if several.where("hot").take(1):
         runs = runs.unionByName(_hot_runs(cut, length, measure))
     whole = contexts.where("total > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("w").alias("b"))).alias("runs"))
     single = contexts.where("total = 1").select("h", "c")
-    flags = written(whole.unionByName(runs.join(single, ["h", "c"], "left_semi")), "flags")
+    flags = written(whole.unionByName(runs.join(single, ["h", "c"], "left_semi")), "flags", drop_shuffles=True)
     starts = found.join(flags, ["h", "c"]).select("id", "x", F.explode("starts").alias("s"), "runs")
     ranges = F.transform("runs", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + length).alias("b")))
     return settled(starts.groupBy(F.col("id").alias("sid"), F.col("x").alias("sx")).agg(F.flatten(F.collect_set(ranges)).alias("cover")), "covers", before)

@@ -21,7 +21,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from evigraph.llm.common import arrow_stage
 
@@ -114,9 +114,12 @@ class WordBpe(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self[word] = b"".join([self.packed[i] for i in self.merge(word.encode("utf-8", "surrogatepass"))])
+        ids = self[word] = self.ids(word)
         return ids
 
+    def ids(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.merge(word.encode("utf-8", "surrogatepass"))])
+
     def merge(self, word: bytes) -> list[int]:
         last = len(word) - 1
         inner = self.inner
@@ -178,12 +181,41 @@ class WordBpe(dict):
         return b"".join(map(self.spaced.__getitem__, np.frombuffer(ids, "<u4").tolist()))[:-1].decode()
 
 
+class LibraryBpe(WordBpe):
+    """The same pre-tokens and store; the tokenizers library's own model merges unseen ones. For operators that only need ids.
+
+    A full store becomes the older half and a new one begins, so that words in use are not merged again: KEPT_WORDS in all.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.letters = dict(enumerate(byte_characters()))
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        ids = self[word] = self.older.get(word) or self.ids(word)
+        return ids
+
+    def merge(self, word: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     """One per worker process."""
     return WordBpe(path)
 
 
+@lru_cache(maxsize=2)
+def load_library(path: str) -> LibraryBpe:
+    """One per worker process."""
+    return LibraryBpe(path)
+
+
 def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: the id, `ids` (binary: little-endian unsigned 32-bit) and `decoded` (string), in one pass over the text."""
 

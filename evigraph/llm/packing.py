@@ -6,6 +6,8 @@ Each input partition keeps at most `open_windows` windows. A piece goes into the
 whole windows first. At the end of a partition its open windows are merged, by cutting, into full ones and at most one
 partial one; those of `fan_in` partitions are then merged the same way by one small task.
 
+Ids: bpe finds the words and keeps what it has met; the tokenizers library's model merges the others.
+
 Memory: open windows only (open_windows x window tokens), whatever the document count. The first pass is written to the
 shared folder, so the two passes agree even if executors are lost in between.
 
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.bpe import default_vocabulary, load
+from evigraph.llm.bpe import default_vocabulary, load_library
 from evigraph.llm.common import arrow_stage, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -117,7 +119,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     def first(batches):
         part = TaskContext.get().partitionId()
         packer = Packer(part << 32, window, open_windows, min_cut)
-        encode = load(vocabulary).encode  # the ids of the tokenizers library, as bpe's tests check
+        encode = load_library(vocabulary).encode
         for b in batches:
             for doc, text in zip(b["k"], b["t"], strict=True):
                 packer.add(doc, encode(text) + end)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -50,58 +52,76 @@ def route_observations(spans: DataFrame, gateways: list[str], services: list[str
     return out.select(F.col("w.end").alias("window_end"), "method", "path", "kind", "item", "operation", "traces", "last_seen", "sample")
 
 
+#: Tables share this many states: a call to a state serves thousands of tables, and one state is small enough to be held.
+BUCKETS = 1024
+KNOWN = ["table_name", "run_us", "hits", "last_us"]
+
+
 class LastKnown(StatefulProcessor):
-    """Per table what it was last seen with; a timer at the end of each run without it carries it on as stale, and clears it beyond the limit."""
+    """Per bucket of tables what each was last seen with; a timer at the end of each run without it carries it on as stale, and clears it beyond the limit.
+
+    The state is one value a bucket, its rows as Arrow; runs are told with arrays, not table by table."""
 
     def __init__(self, run_ms: int, ttl_ms: int) -> None:
-        self.run_ms, self.ttl_ms = run_ms, ttl_ms
+        self.run_us, self.ttl_us = run_ms * 1000, ttl_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "run_us long, hits long, last_us long")
+        self.known = handle.getValueState("known", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows)).sort_values("run_us")
-        out: list[tuple] = []
-        for run, hits, last in zip(came.run_us, came.hits, came.last_us, strict=True):
-            out += self._carried(until=int(run) - self.run_ms * 1000)  # runs between are over: this one is
-            self.last.update((int(run), int(hits), int(last)))
-            out.append((int(run), int(hits), int(last), "fresh"))
-        yield self._frame(key, out)
-        self._set_timer()
+        came = pd.concat(list(rows))[KNOWN].assign(new=True)
+        old = self._load()
+        both = (pd.concat([old.assign(new=False), came]) if len(old) else came).sort_values(["table_name", "run_us"], kind="stable", ignore_index=True)
+        later = both["table_name"].eq(both["table_name"].shift(-1)).to_numpy()
+        following = both["run_us"].shift(-1, fill_value=0).to_numpy()
+        # runs between are over; what comes after a table's last run is the timer's
+        carried, _ = self._carried(both[later], following[later] - self.run_us)
+        yield from self._told([carried, self._fresh(both[both["new"]])])
+        self._keep(both.loc[~later, KNOWN])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        out = self._carried(until=now * 1000)
-        self._set_timer()
-        if out:
-            yield self._frame(key, out)
-
-    def _carried(self, until: int) -> list[tuple]:
-        """The runs after the last one up to `until`, while there is something to carry."""
-        out = []
-        while self.last.exists():
-            run, hits, last = self.last.get()
-            run += self.run_ms * 1000
-            if run > until:
-                break
-            if run <= last + self.ttl_ms * 1000:
-                out.append((run, hits, last, "stale"))
-                self.last.update((run, hits, last))
-            else:
-                out.append((run, hits, last, "decayed"))
-                self.last.clear()
-        return out
-
-    def _set_timer(self) -> None:
+        known = self._load()
+        carried, left = self._carried(known, np.full(len(known), timerValues.getCurrentWatermarkInMs() * 1000))
+        yield from self._told([carried])
+        self._keep(left)
+
+    def _fresh(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[KNOWN].assign(state="fresh")
+
+    def _carried(self, rows: pd.DataFrame, until: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The runs after each row's up to `until`, while there is something to carry; and the rows as they are known then."""
+        run, last = rows["run_us"].to_numpy("int64"), rows["last_us"].to_numpy("int64")
+        end = (last + self.ttl_us - run) // self.run_us + 1  # the run, counted from this one, that is the first beyond the limit
+        n = np.clip(np.minimum(end, (until - run) // self.run_us), 0, None)
+        at = np.repeat(np.arange(len(rows)), n)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + 1
+        out = rows[KNOWN].iloc[at].assign(run_us=run[at] + step * self.run_us, state=np.where(step < end[at], "stale", "decayed"))
+        return out, rows[KNOWN].assign(run_us=run + n * self.run_us)[n < end]
+
+    def _load(self) -> pd.DataFrame:
+        if not self.known.exists():
+            return pd.DataFrame({"table_name": [], "run_us": np.array([], "int64"), "hits": np.array([], "int64"), "last_us": np.array([], "int64")})
+        return pa.ipc.open_stream(self.known.get()[0]).read_pandas()
+
+    def _keep(self, rows: pd.DataFrame) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if self.last.exists():
-            self.handle.registerTimer(self.last.get()[0] // 1000 + self.run_ms)
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        at = lambda i: pd.to_datetime([r[i] for r in rows], unit="us", utc=True)
-        return pd.DataFrame({"table_name": [key[0]] * len(rows), "run": at(0), "hits": [r[1] for r in rows], "last_seen": at(2), "state": [r[3] for r in rows]})
+        if not len(rows):
+            self.known.clear()
+            return
+        table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        self.known.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(rows["run_us"].min()) // 1000 + self.run_us // 1000)
+
+    def _told(self, parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(parts)
+        for k in range(0, len(rows), 50_000):
+            r = rows.iloc[k : k + 50_000]
+            at = lambda c: pd.to_datetime(r[c].to_numpy(), unit="us", utc=True)  # noqa: B023, E731
+            yield pd.DataFrame({"table_name": r["table_name"].to_numpy(), "run": at("run_us"), "hits": r["hits"].to_numpy(), "last_seen": at("last_us"), "state": r["state"].to_numpy()})
 
     def close(self) -> None:
         pass
@@ -110,11 +130,12 @@ class LastKnown(StatefulProcessor):
 def carried_runs(hits: DataFrame, late: str = "10 minutes", run_days: int = 1, ttl_days: int = 7) -> DataFrame:
     """STR-03 on a stream of table hits (table_name, start_ts): the rows of the batch operator, up to the run that the watermark has passed.
 
-    A window by run and table, then state by table with event-time timers; needs the RocksDB state store (with_rocksdb)."""
+    A window by run and table, then state by bucket of tables with event-time timers; needs the RocksDB state store (with_rocksdb)."""
     runs = traces.observed_runs(hits.withWatermark("start_ts", late), f"{run_days} day")
-    runs = runs.select("table_name", F.unix_micros("run").alias("run_us"), "hits", F.unix_micros("last_seen").alias("last_us"))
+    bucket = F.pmod(F.xxhash64("table_name"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    runs = runs.select(bucket, "table_name", F.unix_micros("run").alias("run_us"), "hits", F.unix_micros("last_seen").alias("last_us"))
     keep = LastKnown(run_days * DAY_MS, ttl_days * DAY_MS)
-    return runs.groupBy("table_name").transformWithStateInPandas(keep, "table_name string, run timestamp, hits long, last_seen timestamp, state string", "Append", "EventTime")
+    return runs.groupBy("bucket").transformWithStateInPandas(keep, "table_name string, run timestamp, hits long, last_seen timestamp, state string", "Append", "EventTime")
 
 
 @contextmanager

@@ -181,3 +181,16 @@ def test_the_newest_bucket_waits(spark, tmp_path):
     write_traces(spark.createDataFrame([span("one", 1, None, "gw", 0), span("two", 1, None, "gw", 60 * 30)], SPAN), path)
     assert [r[0] for r in streams.drain(stream(), f"file://{tmp_path}/run").collect()] == ["one"]
     assert sorted(r[0] for r in streams.drain(stream(last="true"), f"file://{tmp_path}/run").collect()) == ["one", "two"]
+
+
+def test_tables_share_states(spark, tmp_path):
+    """A call to a state serves all tables of its bucket: with 3000 tables there are at most as many states as buckets."""
+    rows = hits(*[(f"t{i}", d) for i in range(3000) for d in (0, i % 9 + 1)], ("z", 40))
+    (tmp_path / "hits").mkdir()
+    spark.createDataFrame(rows, HIT).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/hits")
+    with streams.with_rocksdb(spark):
+        out = streams.drain(streams.carried_runs(spark.readStream.schema(HIT).parquet(f"{tmp_path}/hits")), f"file://{tmp_path}/runs")
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got))
+    assert {r for r in got if r[0] != "z"} == {r for r in batch_runs(spark, rows, datetime(2024, 4, 10)) if r[0] != "z"}
+    assert streams.BUCKETS < 3000
